@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lathework.session import shared_path, written
 
 #: Characters of which nothing can be seen.
-UNSEEN = r"[\p{Z}\p{Cc}\p{Cf}͏ᅟᅠㅤﾠ⠀︀-️]"
+UNSEEN = r"[\p{Z}\p{Cc}\p{Cf}\u034F\u115F\u1160\u3164\uFFA0\u2800\uFE00-\uFE0F]"
 #: Kept state of a row: no text, so state stays small.
 ROW = "session_id string, ts timestamp, id long, asks boolean, replies boolean, text_hash long"
 

@@ -32,9 +32,9 @@ DRAWN_ALIKE = {
 }
 
 #: Characters that show as a space.
-SPACES = r"[\p{Zs}\t\n\x0B\f\r\x85  ⠀]"
+SPACES = r"[\p{Zs}\t\n\x0B\f\r\x85\u2028\u2029\u2800]"
 #: Characters that show nothing.
-UNSEEN = r"[\p{Cf}\p{Cc}͏ᅟᅠ឴឵᠋-᠏ㅤﾠ︀-️]|[\x{E0100}-\x{E01EF}]"
+UNSEEN = r"[\p{Cf}\p{Cc}\u034F\u115F\u1160\u17B4\u17B5\u180B-\u180F\u3164\uFFA0\uFE00-\uFE0F]|[\x{E0100}-\x{E01EF}]"
 
 #: Decompositions that change only the drawing's width or font, by the tag in the Unicode data.
 SAME_DRAWING = {"<wide>", "<narrow>", "<font>"}

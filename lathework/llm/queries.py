@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lathework.llm import q_conversations, q_identifiers
+from lathework.llm import q_conversations, q_identifiers, q_sentences
 
-MODULES = [q_identifiers, q_conversations]
+MODULES = [q_identifiers, q_conversations, q_sentences]
 
 
 def queries() -> dict:
