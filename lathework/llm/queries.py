@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lathework.llm import q_conversations, q_identifiers, q_pages, q_pairs, q_sentences
+from lathework.llm import q_conversations, q_identifiers, q_pages, q_pairs, q_sentences, q_sizes
 
-MODULES = [q_pairs, q_identifiers, q_pages, q_conversations, q_sentences]
+MODULES = [q_pairs, q_identifiers, q_pages, q_conversations, q_sizes, q_sentences]
 
 
 def queries() -> dict:
