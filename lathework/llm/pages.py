@@ -20,22 +20,23 @@ The order of the work:
 
 from __future__ import annotations
 
+import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lathework.llm.automata import Trie
 from lathework.session import written
 
-# Characters that recognition takes for one another, each group by its first member; then pairs of such groups.
-PAIRS_ALIKE = {"rn": "m", "nn": "m", "uu": "w", "cl": "d", "ll": "u"}
-DRAWN_ALIKE = ["li1|!íìj", "o0óòöq", "ceéè", "tf", "hb86", "s5", "g9", "z2", "uvü", "aàáä"]
+# Characters that recognition takes for one another, each group by its first member; then letters by the groups they are drawn like.
+DRAWN_ALIKE = ["li1|!íìj", "o0óòöq", "ceéè", "tf", "hb86", "s5", "g9", "z2", "aàáä"]
+DRAWN_AS_PAIR = {"u": "ll", "v": "ll", "ü": "ll", "w": "llll", "m": "rn", "d": "cl"}
 # Letters taken for digits.
 AS_DIGIT = {"O": "0", "o": "0", "Q": "0", "D": "0", "l": "1", "I": "1", "|": "1", "i": "1", "S": "5", "s": "5", "B": "8", "Z": "2", "z": "2", "g": "9", "q": "9", "b": "6", "G": "6", "A": "4", "T": "7"}
 # Words before a page number.
@@ -47,32 +48,43 @@ DISTANCE = ((4, 1), (99, 2))
 #: Bits of the bitmap of misread terms.
 BITMAP_BITS = 1 << 22
 
-LINE = regex.compile(r"\r\n|\n|\r")
-TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}--[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]]+(?:[-_/.·'’\u2011][\p{L}\p{M}\p{N}--[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]]+)*", regex.V1)
-IDEOGRAPH = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]")
-MIXED = regex.compile(r"\d[OoQDlI|SsBZzgqbGA]|(?<!\p{L})[OoQlI|SsBZzgqbG]{1,3}\d|\d\p{L}{1,2}\d|\p{L}{2}\d|\p{L}\d\p{L}|\d\p{L}{3}|(?<!\d)\d\p{Ll}{2}")
-NUMBERLIKE = regex.compile(r"(?=.*\d)[\dOolI|SsBZgqb]+(?:[.,][\dOolI|SsBZgqb]+)*")
-DIGITS = regex.compile(r"\d+")
-DIVIDED = regex.compile(r"([\p{L}\p{M}][\p{L}\p{M}\d'’]*(?:-[\p{L}\p{M}\d]+)*)([-\u2010\u00ad¬])\s*\Z")
-FIRST_WORD = regex.compile(r"\s*([[\p{L}\p{M}\d'’]--[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]]+)", regex.V1)
+_IDEO = r"\u3005\u3007\u3041-\u3096\u30a1-\u30fa\u30fc\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0002fa1f"
+_ALNUM, _LETTER = rf"[^\W_{_IDEO}\u0e00-\u0e7f]", rf"[^\W\d_{_IDEO}\u0e00-\u0e7f]"
+LINE = re.compile(r"\r\n|\n|\r")
+TOKEN = re.compile(rf"{_ALNUM}+(?:[-_/.·'’\u2011]{_ALNUM}+)*")
+IDEOGRAPH = re.compile(f"[{_IDEO}]")
+LETTER = re.compile(_LETTER)
+MIXED = re.compile(rf"\d[OoQDlI|SsBZzgqbGA]|(?<!{_LETTER})[OoQlI|SsBZzgqbG]{{1,3}}\d|\d{_LETTER}{{1,2}}\d|{_LETTER}{{2}}\d|{_LETTER}\d{_LETTER}|\d{_LETTER}{{3}}|(?<!\d)\d[a-zà-ÿ]{{2}}")
+DIGITS = re.compile(r"\d+")
+HYPHENS = "-\u2010\u00ad¬"
+DIVIDED = re.compile(rf"({_LETTER}(?:{_ALNUM}|['’])*(?:-{_ALNUM}+)*)([{HYPHENS}])\s*\Z")
+FIRST_WORD = re.compile(rf"\s*((?:{_ALNUM}|['’])+)")
 NUMBER = r"[\dOolI|SsBZgqb]{1,6}"
-PAGE_FORMS = regex.compile(
-    rf"(?:[-–—·•\[(|]\s*{NUMBER}\s*[-–—·•\])|]|{NUMBER}\s*/\s*{NUMBER}|第\s*{NUMBER}\s*\p{{Han}}(?:\s*共\s*{NUMBER}\s*\p{{Han}})?|\p{{Han}}\s*{NUMBER}\s*[页頁](?:\s*\p{{Han}}\s*{NUMBER}\s*\p{{Han}})?|{NUMBER}\s*ページ)"
+_HAN = r"[\u3400-\u9fff]"
+PAGE_FORMS = re.compile(
+    rf"(?:[-–—·•\[(|]\s*{NUMBER}\s*[-–—·•\])|]|{NUMBER}\s*/\s*{NUMBER}|第\s*{NUMBER}\s*{_HAN}(?:\s*共\s*{NUMBER}\s*{_HAN})?|{_HAN}\s*{NUMBER}\s*[页頁](?:\s*{_HAN}\s*{NUMBER}\s*{_HAN})?|{NUMBER}\s*ページ)"
 )
-PAGE_NAMED = regex.compile(rf"(\p{{L}}[\p{{L}}\p{{M}}\d]*)\.?\s*({NUMBER})(?:\s*(\p{{L}}+|\p{{L}}?[\dl]\p{{L}}?|/)\s*({NUMBER}))?")
-BARE = regex.compile(rf"(?:{NUMBER})")
-UNIT_HEAD = regex.compile(r"[(（][^()（）]{1,10}[)）]\s*[:：]?\s*\Z")
-AROUND_TITLE = regex.compile(rf"\A\s*(?:{NUMBER}\s*[|｜]\s*)?(?:[^—|]{{1,40}}\s—\s)?|\s+[·•]\s+\p{{L}}{{2,4}}\.?\s+[\d.OolI|SsBZgqb]+(?=\s|\Z)|(?:\s{{2,}}|\s*[|｜]\s*){NUMBER}\s*\Z")
-_TO_CLASS = str.maketrans({c: g[0] for g in DRAWN_ALIKE for c in g})
-_TO_DIGIT = str.maketrans(AS_DIGIT)
+PAGE_NAMED = re.compile(rf"([^\W\d_]\w*)\.?\s*({NUMBER})(?:\s*([^\W\d_]+|[^\W\d_]?[\dl][^\W\d_]?|/)\s*({NUMBER}))?")
+BARE = re.compile(NUMBER)
+NUMBERISH = re.compile(r"[\dlIO|]")
+UNIT_HEAD = re.compile(r"[(（][^()（）]{1,10}[)）]\s*[:：]?\s*\Z")
+AROUND_TITLE = re.compile(rf"\A\s*(?:{NUMBER}\s*[|｜]\s*)?(?:[^—|]{{1,40}}\s—\s)?|\s+[·•]\s+[^\W\d_]{{2,4}}\.?\s+[\d.OolI|SsBZgqb]+(?=\s|\Z)|(?:\s{{2,}}|\s*[|｜]\s*){NUMBER}\s*\Z")
+PARAGRAPH_START = re.compile(r"\s*(?:[-–•*]\s|\(?\d{1,3}[.)]\s)")
+_TO_CLASS = str.maketrans({c: g[0] for g in DRAWN_ALIKE for c in g} | DRAWN_AS_PAIR)
+_AS_ZERO = str.maketrans({c: "0" for c in "0123456789０１２３４５６７８９"})
 
 
 def fold(s: str) -> str:
     """``s`` with everything that recognition confuses made equal."""
-    s = s.lower().translate(_TO_CLASS)
-    for a, b in PAIRS_ALIKE.items():
-        s = s.replace(a, b)
-    return s
+    return s.lower().translate(_TO_CLASS)
+
+
+@lru_cache(10_000)
+def folded_title(title: str | None) -> tuple[str, tuple[str, ...]]:
+    """The folded title, and three parts of it of which one is whole wherever at most two characters differ."""
+    f = fold(title.strip()) if title else ""
+    k = -(-len(f) // 3)
+    return f, tuple(f[x : x + k] for x in range(0, len(f), max(1, k)))
 
 
 def mask(token: str) -> str:
@@ -109,15 +121,19 @@ def page_number(s: str) -> bool:
     return bool(m and fold(m[1]) in _PAGE_FOLDED and _is_number(m[2]) and (m[3] is None or m[3] == "/" or fold(m[3]) in _OF_FOLDED and _is_number(m[4])))
 
 
-def names_document(s: str, folded_title: str) -> bool:
+def names_document(s: str, title: str | None) -> bool:
     """Whether the stripped line is the title, alone or between page number, maker and revision."""
-    if not folded_title or len(s) > len(folded_title) + 70 or len(s) + 3 < len(folded_title):
+    whole, parts = folded_title(title)
+    if not whole or len(s) > len(whole) + 70:
         return False
-    most = 1 if len(folded_title) < 12 else 2
+    f = fold(s)
+    if len(f) + 3 < len(whole) or not any(p in f for p in parts):
+        return False
+    most = 1 if len(whole) < 12 else 2
     core = s
     for _ in range(3):
         f = fold(core)
-        if f == folded_title or near(f, folded_title, most):
+        if f == whole or near(f, whole, most):
             return True
         cut = AROUND_TITLE.sub("", core).strip()
         if cut == core:
@@ -128,121 +144,142 @@ def names_document(s: str, folded_title: str) -> bool:
 
 def line_kinds(lines: list[str], title: str | None) -> list[str]:
     """For every line '', 'page_number' or 'running_header'."""
-    folded = fold(title.strip()) if title else ""
     kinds = []
     measured = False
     for line in lines:
         s = line.strip()
-        bare = len(s) <= 6 and BARE.fullmatch(s) and _is_number(s)
-        if not s:
-            kinds.append("")
-        elif bare:
-            kinds.append("" if measured else "page_number")
-        elif len(s) <= 40 and page_number(s):
-            kinds.append("page_number")
-        else:
-            kinds.append("running_header" if names_document(s, folded) else "")
-            measured = UNIT_HEAD.search(s) is not None
+        kind = ""
+        if s:
+            short = len(s) <= 32 and NUMBERISH.search(s)
+            if short and len(s) <= 6 and BARE.fullmatch(s) and _is_number(s):
+                kind = "" if measured else "page_number"
+            elif short and page_number(s):
+                kind = "page_number"
+            else:
+                kind = "running_header" if names_document(s, title) else ""
+                measured = s[-1] in ")）:：" and UNIT_HEAD.search(s) is not None
+        kinds.append(kind)
     return kinds
 
 
+def divided_at_end(line: str):
+    """The word divided at the end of ``line`` as a match, or None."""
+    s = line.rstrip()
+    return DIVIDED.search(line) if s and s[-1] in HYPHENS else None
+
+
 def shows_scan(text: str, title: str | None) -> int:
     """Signs of a scan in ``text``: page numbers, titles beside or below other text, words divided at line ends."""
     lines = LINE.split(text)
     kinds = line_kinds(lines, title)
     signs = 0
     for i, (line, kind) in enumerate(zip(lines, kinds)):
-        if kind == "page_number" or kind and (i > 0 or fold(line.strip()) != fold((title or "").strip())):
+        if kind == "page_number" or kind and (i > 0 or fold(line.strip()) != folded_title(title)[0]):
             signs += 1
-        elif not kind and i + 1 < len(lines) and (m := DIVIDED.search(line)) and m[1][-1].islower():
-            nxt = next((x for x, k in zip(lines[i + 1 :], kinds[i + 1 :]) if x.strip() and not k), "")
-            signs += bool(nxt[:1].islower() and m[2] != "-")
+        elif not kind and i + 1 < len(lines) and (m := divided_at_end(line)) and m[1][-1].islower() and m[2] != "-":
+            following = next((x for x, k in zip(lines[i + 1 :], kinds[i + 1 :]) if x.strip() and not k), "")
+            signs += following[:1].islower()
     return signs
 
 
-class Place:
-    """Where a term stands: its line, its start there, and the words around it."""
-
-    __slots__ = ("kind", "term", "line", "at", "raw", "before", "after", "line2")
+class Run:
+    """The characters of the lines with ideographs as one run: digits as 0, other letters as a."""
+
+    def __init__(self):
+        self.pieces: list[str] = []
+        self.starts: list[int] = []
+        self.origins: list[tuple[int, int]] = []
+        self.length = 0
+
+    def add(self, piece: str, line: int, at: int) -> None:
+        self.pieces.append(piece)
+        self.starts.append(self.length)
+        self.origins.append((line, at))
+        self.length += len(piece)
+
+    def trigrams(self) -> Iterator[tuple[str, str, int]]:
+        """(kind, trigram, place of the character meant): c inside, e and f at the first and last character."""
+        t = LETTER.sub("a", "".join(self.pieces)).translate(_AS_ZERO)
+        last = len(t) - 1
+        if last < 2:
+            return
+        for m in IDEOGRAPH.finditer(t):
+            x = m.start()
+            if 0 < x < last:
+                yield "c", t[x - 1 : x + 2], x
+            else:
+                yield ("f", t[x - 2 :], x) if x else ("e", t[:3], x)
 
-    def __init__(self, kind, term, line, at, raw, before="", after="", line2=-1):
-        self.kind, self.term, self.line, self.at, self.raw, self.before, self.after, self.line2 = kind, term, line, at, raw, before, after, line2
+    def origin(self, x: int) -> tuple[int, int]:
+        k = bisect_right(self.starts, x) - 1
+        line, at = self.origins[k]
+        return line, at + x - self.starts[k]
 
 
-def terms(text: str, title: str | None, scan: bool) -> Iterator[Place]:
-    """All terms of a text outside its furniture.
+def terms(text: str, title: str | None, scan: bool) -> tuple[list[tuple], Run]:
+    """All terms of a text outside its furniture: (kind, term, line, at, raw, before, after, line2), and the run of ideographs.
 
     Kinds: w word in lower case; d digits with letters, as written; m masked
     number; n masked number or single letter with the next word; b pair of words;
-    p first part of a compound; c character trigram; e and f trigram at the first and last character; h word divided at a line end, with its rest.
+    p first part of a compound; h word divided at a line end, with its rest in line2.
     """
     lines = LINE.split(text)
-    kinds = line_kinds(lines, title) if scan else [""] * len(lines)
-    body = [i for i, k in enumerate(kinds) if not k]
+    kinds = line_kinds(lines, title) if scan else None
+    body = [i for i in range(len(lines)) if not kinds or not kinds[i]]
     rest_at: dict[int, int] = {}  # lines that begin with the rest of a divided word, and where the text after it begins
-    previous = ""
     wraps_anywhere = IDEOGRAPH.search(text) is not None  # lines of such scripts also end within identifiers
-    trail: list[tuple[int, int, str]] = []
+    run = Run()
+    out: list[tuple] = []
+    add = out.append
+    previous = ""
     for k, i in enumerate(body):
         line = lines[i]
-        start = rest_at.get(i, 0)
-        divided = DIVIDED.search(line) if line[-1:] in "-\u2010\u00ad¬" or line[-2:].strip()[-1:] in ("-", "\u2010", "\u00ad", "¬") else None
-        stop = len(line)
+        start, stop = rest_at.get(i, 0), len(line)
+        divided = divided_at_end(line)
         if divided and divided.start() >= start:
             nxt = next((j for j in body[k + 1 :] if lines[j].strip()), -1)
             m = FIRST_WORD.match(lines[nxt]) if nxt >= 0 else None
-            rest = m[1] if m else ""
-            left = divided[1]
-            soft = divided[2] != "-"
+            rest, left, mark = m[1] if m else "", divided[1], divided[2]
             inside = left[-1].islower() or left[-1].isdigit() and sum(map(str.islower, left)) > 1
-            if inside and (not rest or rest[0].islower() or rest[0].isdigit() and not rest.isdigit()) or soft:
-                yield Place("h", f"{left.lower()}{divided[2]}{rest.lower()}", i, divided.start(), left, previous, rest, nxt)
+            if inside and (not rest or rest[0].islower() or rest[0].isdigit() and not rest.isdigit()) or mark != "-":
+                add(("h", f"{left.lower()}{mark}{rest.lower()}", i, divided.start(), left, previous, rest, nxt))
                 if rest:
                     rest_at[nxt] = m.end()
                 stop = divided.start()
-        found = list(TOKEN.finditer(line, start, stop))
-        for a, m in enumerate(found):
-            raw = m.group()
-            after = found[a + 1].group().lower() if a + 1 < len(found) else ""
-            if any(ch.isdigit() for ch in raw):
-                yield Place("m", mask(raw), i, m.start(), raw)
-                if len(raw) > 4 and not raw.isalnum():
-                    for part in regex.split(r"[^\p{L}\p{M}\p{N}]", raw):
-                        yield Place("m", mask(part), i, m.start(), raw)
-                cut = m.end() == stop and wraps_anywhere and i < body[-1] or m.start() == 0 and wraps_anywhere and k > 0
-                if not cut and MIXED.search(raw):
-                    yield Place("d", raw, i, m.start(), raw, previous, after)
-                if raw.isdigit() and after:
-                    yield Place("n", "0|" + mask(after), i, m.start(), raw)
-                previous = ""
-            else:
+        found = [(m.group(), m.start()) for m in TOKEN.finditer(line, start, stop)]
+        for a, (raw, at) in enumerate(found):
+            after = found[a + 1][0].lower() if a + 1 < len(found) else ""
+            if raw.isalpha() or not DIGITS.search(raw):
                 word = raw.lower()
-                if len(raw) == 1 or len(raw) <= 3 and all(ch in "lIO" for ch in raw):
-                    yield Place("n", f"{raw}|{mask(after)}", i, m.start(), raw, previous, after)
+                if len(raw) == 1 or len(raw) <= 3 and not raw.strip("lIO"):
+                    add(("n", f"{raw}|{mask(after)}", i, at, raw, previous, after, -1))
                 if len(raw) > 1:
-                    yield Place("w", word, i, m.start(), raw, previous, after)
-                    if previous:
-                        yield Place("b", f"{previous} {word}", i, m.start(), raw)
+                    add(("w", word, i, at, raw, previous, after, -1))
+                    if previous and not scan:
+                        add(("b", f"{previous} {word}", i, at, raw, "", "", -1))
                     if "-" in word:
-                        yield Place("p", word[: word.rindex("-") + 1], i, m.start(), raw)
+                        add(("p", word[: word.rindex("-") + 1], i, at, raw, "", "", -1))
                         for part in word.split("-"):
-                            yield Place("w", part, i, m.start(), raw)
+                            add(("w", part, i, at, raw, "", "", -1))
                 previous = word
-        if IDEOGRAPH.search(line):
-            trail.extend((i, j, ch) for j, ch in enumerate(line) if not ch.isspace() and j >= start and j < stop)
+            else:
+                if not scan:
+                    add(("m", mask(raw), i, at, raw, "", "", -1))
+                    if len(raw) > 4 and not raw.isalnum():
+                        for part in re.split(r"[\W_]", raw):
+                            add(("m", mask(part), i, at, raw, "", "", -1))
+                    if after and raw.isdigit():
+                        add(("n", "0|" + mask(after), i, at, raw, "", "", -1))
+                cut = wraps_anywhere and (at == 0 and k > 0 or at + len(raw) == stop and i < body[-1])
+                if not cut and MIXED.search(raw):
+                    add(("d", raw, i, at, raw, previous, after, -1))
+                previous = ""
+        if wraps_anywhere and IDEOGRAPH.search(line):
+            piece = line[start:stop]
+            run.add(piece.strip(), i, start + len(piece) - len(piece.lstrip()))
         elif line.strip():
-            trail.append((i, 0, "\n"))
-            previous = previous if found else ""
-    chars = ["0" if ch.isdigit() else "a" if ch.isalpha() and not IDEOGRAPH.match(ch) else ch for _, _, ch in trail]
-    for x in range(len(trail)):
-        c = chars[x]
-        if c not in "0a\n" and IDEOGRAPH.match(c):
-            if 0 < x < len(chars) - 1:
-                yield Place("c", chars[x - 1] + c + chars[x + 1], trail[x][0], trail[x][1], c)
-            elif x == 0 and len(chars) > 2:
-                yield Place("e", c + chars[1] + chars[2], trail[x][0], trail[x][1], c)
-            elif len(chars) > 2:
-                yield Place("f", chars[x - 2] + chars[x - 1] + c, trail[x][0], trail[x][1], c)
+            run.add("\n", i, 0)
+    return out, run
 
 
 def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,8 +294,10 @@ def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for text, title, scan in zip(batch["text"], batch["title"], batch["scan"]):
             scan = bool(scan)
-            only = "wdnchef" if scan else "wdmnbpc"
-            counts.update((scan, p.kind, p.term) for p in terms(text, title, scan) if p.kind in only)
+            found, run = terms(text, title, scan)
+            only = "wdnh" if scan else "wdmnbp"
+            counts.update([(scan, x[0], x[1]) for x in found if x[0] in only])
+            counts.update([(scan, kind, t) for kind, t, _ in run.trigrams() if scan or kind == "c"])
         if len(counts) > 300_000:
             yield out()
     yield out()
@@ -298,9 +337,8 @@ def _pairs_known(found: DataFrame, vocabulary: DataFrame) -> DataFrame:
     ``whole`` is the word as it would stand in one line.
     """
     words = vocabulary.where("kind in ('w', 'p')").select("kind", F.col("term").alias("v"))
-    pattern = "^(.*?)([-\u2010\u00ad¬])([^-\u2010\u00ad¬]*)$"
-    h = found.where("kind = 'h'").select("term", F.regexp_extract("term", pattern, 1).alias("a"), F.regexp_extract("term", pattern, 2).alias("mark"), F.regexp_extract("term", pattern, 3).alias("b"))
-    h = h.select("term", F.regexp_extract("term", "^(.*)[-\u2010\u00ad¬]", 1).alias("a"), "mark", F.regexp_extract("term", "([^-\u2010\u00ad¬]*)$", 1).alias("b"))
+    pattern = rf"^(.*)([{HYPHENS}])([^{HYPHENS}]*)$"  # the last hyphen counts
+    h = found.where("kind = 'h'").select("term", *(F.regexp_extract("term", pattern, k).alias(name) for k, name in ((1, "a"), (2, "mark"), (3, "b"))))
     parts = h.withColumns({"joined": F.concat("a", "b"), "compound": F.concat_ws("-", "a", "b"), "first": F.concat("a", F.lit("-"))})
 
     def has(df: DataFrame, column: str, kind: str, name: str) -> DataFrame:
@@ -319,8 +357,8 @@ def _digits_of(c: Column) -> Column:
     chars = "".join(AS_DIGIT)
     for _ in range(3):
         for a in sorted(set(AS_DIGIT.values())):
-            group = regex.escape("".join(k for k, v in AS_DIGIT.items() if v == a))
-            c = F.regexp_replace(c, rf"(?<=\d)[{group}]|(?<![\p{{L}}])[{group}](?=[{regex.escape(chars)}]{{0,2}}\d)", a)
+            group = re.escape("".join(k for k, v in AS_DIGIT.items() if v == a))
+            c = F.regexp_replace(c, rf"(?<=\d)[{group}]|(?<![\p{{L}}])[{group}](?=[{re.escape(chars)}]{{0,2}}\d)", a)
     return c
 
 
@@ -408,7 +446,12 @@ def find_places(batches: Iterator[pd.DataFrame], bits) -> Iterator[pd.DataFrame]
         rows = []
         for tbl, key, text, title in zip(batch["tbl"], batch["row_key"], batch["text"], batch["title"]):
             rows.extend((tbl, key, i, k, "", -1, "", "", "", -1) for i, k in enumerate(line_kinds(LINE.split(text), title)) if k)
-            rows.extend((tbl, key, p.line, p.kind, p.term, p.at, p.raw, p.before, p.after, p.line2) for p in terms(text, title, True) if p.kind in "wdnchef" and marked(p.term))
+            found, run = terms(text, title, True)
+            rows.extend((tbl, key, line, kind, term, at, raw, before, after, line2) for kind, term, line, at, raw, before, after, line2 in found if kind in "wdnh" and marked(term))
+            for kind, term, x in run.trigrams():
+                if marked(term):
+                    line, at = run.origin(x)
+                    rows.append((tbl, key, line, kind, term, at, term[{"e": 0, "c": 1, "f": 2}[kind]], "", "", -1))
         yield pd.DataFrame(rows, columns=names)
 
 
@@ -505,7 +548,7 @@ def repaired_text(text: str, places: list) -> str:
             s = s[len(rest) :].lstrip() if s.startswith(rest) or len(s) >= len(rest) else s
             rest = ""
         rest = joins.get(i, rest)
-        if not line.strip() or regex.match(r"\s*(?:[-–•*]\s|\(?\d{1,3}[.)]\s)", line) or regex.fullmatch(r"\d{1,5}", s) or UNIT_HEAD.search(s):
+        if not line.strip() or PARAGRAPH_START.match(line) or re.fullmatch(r"\d{1,5}", s) or UNIT_HEAD.search(s):
             if current:
                 paragraphs.append(current)
             current = s
