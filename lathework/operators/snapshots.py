@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: White space of any script, for trimming.
-EDGE_SPACE = r"(?U)^[\s﻿​]+|[\s﻿​]+$"
+EDGE_SPACE = r"(?U)^[\s\uFEFF\u200B]+|[\s\uFEFF\u200B]+$"
 
 
 def stripped(c: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lathework.plans import snapshots
+from lathework.plans import records, search, snapshots
 
-MODULES = [snapshots]
+MODULES = [search, records, snapshots]
 
 
 def queries() -> dict:

@@ -1,0 +1,85 @@
+"""Tables in versions on a shared file system: write, verify, then make current by one new pointer file."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lathework.operators import ingestion
+
+
+class StaleRevision(Exception):
+    """Another writer committed first."""
+
+
+class VersionedTable:
+    """A table whose revision N is the data folder named in the pointer file N.
+
+    A pointer file is created only if it does not exist, so of two writers that saw the same revision one fails; a
+    failed write leaves the current revision as it was.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        jvm = spark._jvm
+        self._at = lambda p: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{p}")
+        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self._jvm = jvm
+
+    def revision(self) -> int:
+        """The current revision, 0 before the first commit."""
+        found = self._fs.globStatus(self._at("rev-*"))
+        return max((int(s.getPath().getName()[4:]) for s in found or []), default=0)
+
+    def read(self, revision: int | None = None) -> DataFrame:
+        """The rows of a revision, by default the current one."""
+        n = self.revision() if revision is None else revision
+        if not n:
+            return self.spark.createDataFrame([], self.schema)
+        pointer = self.spark.read.text(f"{self.path}/rev-{n:09d}").first().value
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{pointer}")
+
+    def commit(self, df: DataFrame, *, expected: int) -> int:
+        """Writes ``df`` as revision ``expected`` + 1 and gives that; :class:`StaleRevision` if it is no longer the next."""
+        wanted = {f.name: f.dataType for f in self.spark.createDataFrame([], self.schema).schema}
+        if {f.name: f.dataType for f in df.schema} != wanted:
+            raise ValueError("schema differs from the table's")
+        if self.revision() != expected:
+            raise StaleRevision(f"revision {self.revision()}, not {expected}")
+        data = f"data-{expected + 1:09d}-{uuid.uuid4().hex}"
+        df.select(*wanted).write.parquet(f"{self.path}/{data}")
+        try:
+            out = self._fs.create(self._at(f"rev-{expected + 1:09d}"), False)
+        except Exception as e:
+            raise StaleRevision(str(e)[:200]) from None
+        out.write(bytearray(data.encode()))
+        out.close()
+        return expected + 1
+
+    def upsert(self, rows: DataFrame, key: str, *, expected: int) -> int:
+        """Puts ``rows`` in place of those with the same key; repeated keys in ``rows`` are an error before anything is written."""
+        if not ingestion.duplicate_keys(rows, key).isEmpty():
+            raise ValueError("repeated keys in one batch")
+        return self.commit(ingestion.upsert(self.read(), rows, key), expected=expected)
+
+    def delete(self, ids: DataFrame, key: str, *, expected: int) -> int:
+        return self.commit(ingestion.delete(self.read(), ids, key), expected=expected)
+
+
+def same_ids(a: DataFrame, b: DataFrame, key: str) -> bool:
+    """Whether two tables have the same set of keys."""
+    x, y = a.select(key).distinct(), b.select(key).distinct()
+    return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()
+
+
+def cache_key(df: DataFrame, parts: list[str]) -> DataFrame:
+    """Adds ``cache_key``: a hash of everything an answer depends on, nulls included."""
+    return df.withColumn("cache_key", F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256))
+
+
+def cached(cache: DataFrame, queries: DataFrame, now: str) -> DataFrame:
+    """Cached answers of ``queries`` (cache_key) that are valid at ``now``: status answered, not expired, with a text."""
+    live = cache.where((F.col("status") == "answered") & (F.col("expires_at") > F.lit(now).cast("timestamp")) & F.col("answer").isNotNull())
+    return queries.join(live.select("cache_key", "answer"), "cache_key")
