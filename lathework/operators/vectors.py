@@ -40,15 +40,15 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def block_search(
-    queries: DataFrame, rows: DataFrame, *, k: int, metric: str = "ip", block_rows: int = 50_000, block_queries: int = 2_000, same_group: bool = False, exclude_self: bool = False
+    queries: DataFrame, rows: DataFrame, *, k: int | None, metric: str = "ip", block_rows: int = 50_000, block_queries: int = 2_000, same_group: bool = False, exclude_self: bool = False, above: float | None = None, up_to: float | None = None
 ) -> DataFrame:
-    """The ``k`` nearest rows of each query: ``query_id, row_id, score, rank``; ties go to the smaller row id.
+    """The ``k`` nearest rows of each query, all of them if ``k`` is None: ``query_id, row_id, score, rank``; ties go to the smaller row id.
 
     ``queries``: query_id, vector[, grp]; ``rows``: row_id, vector[, grp]. With ``same_group`` a query
     whose grp is not null meets rows of that grp only (a null grp of a row matches none); the filter is
-    applied before ranking. Empty inputs give no rows; l2 scores are minus the distance.
+    applied before ranking, as are the bounds above < score <= up_to. Empty inputs give no rows; l2 scores are minus the distance.
     """
-    if metric not in METRICS or not 1 <= k <= 16384:
+    if metric not in METRICS or k is not None and not 1 <= k <= 16384:
         raise ValueError("metric or k out of range")
     spark = queries.sparkSession
     n_r, n_q = max(1, -(-rows.count() // block_rows)), max(1, -(-queries.count() // block_queries))
@@ -74,6 +74,10 @@ def block_search(
                 s = np.where(pd.isna(g) | ((g == h) & ~pd.isna(h)), s, -np.inf)
             if exclude_self:
                 s = np.where(part["query_id"].to_numpy()[:, None] == ids[None, :], -np.inf, s)
+            if above is not None:
+                s = np.where(s > above, s, -np.inf)
+            if up_to is not None:
+                s = np.where(s <= up_to, s, -np.inf)
             order = np.argsort(-s, axis=1, kind="stable")[:, :k]
             for qid, o, row in zip(part["query_id"], order, s):
                 keep = o[np.isfinite(row[o])]
@@ -84,10 +88,11 @@ def block_search(
     return top_k(hits, k)
 
 
-def top_k(hits: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best hits per query with ``rank``; ties go to the smaller row id."""
+def top_k(hits: DataFrame, k: int | None) -> DataFrame:
+    """The ``k`` best hits per query, all of them if ``k`` is None, with ``rank``; ties go to the smaller row id."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = hits.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def sparse_search(queries: DataFrame, rows: DataFrame, *, k: int, same_group: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lathework.functions import text
 from lathework.operators import analysis, chunking, evaluation, fastpath, guards, ingestion, lexical, ranking, sessions, vectors
+from lathework.plans import search
 from lathework.sources import files, store
 from lathework.streaming import ingest
 
@@ -75,6 +76,20 @@ def test_block_search_equals_brute_force(spark):
     assert vectors.block_search(queries.limit(0), rows, k=3).count() == 0
 
 
+def test_range_search_is_not_cut_by_nearer_rows(spark, tmp_path):
+    import numpy as np
+
+    angles = np.concatenate([np.zeros(31), np.linspace(0.5, 1.4, 40), np.linspace(1.5, 3, 29)])  # 30 copies of the query, 40 rows in range, 29 beyond
+    x = np.stack([np.cos(angles), np.sin(angles)], axis=1)
+    df = spark.createDataFrame([(i + 1001 * (i % 20 == 0 and i > 0), v.tolist(), 0) for i, v in enumerate(x)], "vec_id int, embedding array<double>, label int")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = search.dense_range(spark, str(tmp_path)).collect()
+    assert {r.query_id for r in got} == {0}
+    want = [(i + 1001 * (i % 20 == 0), float(s)) for i, s in enumerate(np.round(np.cos(angles), 6)) if 0.1 < s <= 0.9]
+    assert len(want) == 40 and [(r.row_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == want
+    assert [r["rank"] for r in sorted(got, key=lambda r: r["rank"])] == list(range(1, 41))
+
+
 def test_ivf_recall(spark):
     import numpy as np
 
