@@ -52,7 +52,7 @@ HEX20 = "cast(conv(substring(id, 1, 8), 16, 10) as bigint) % 20 = 0"
 
 def _chunks(spark, sf_dir):
     c = table(spark, sf_dir, "chunks").where("id is not null").dropDuplicates(["id"])
-    rows = c.select(F.col("id").alias("row_id"), F.col("dense_vector").alias("vector"), F.col("sparse_vector").alias("sparse"), F.col("equipment_model").alias("grp"), "parent_id", "knowledge_type", "manufacturer", "text", "language")
+    rows = c.select(F.col("id").alias("row_id"), F.col("dense_vector").alias("vector"), F.col("sparse_vector").alias("sparse"), F.col("equipment_model").alias("grp"), "parent_id", "parent_content", "knowledge_type", "manufacturer", "text", "language")
     return rows.where(HEX20.replace("id", "row_id", 1)).withColumnRenamed("row_id", "query_id"), rows
 
 
@@ -114,7 +114,7 @@ def parent_aggregate(spark, sf_dir):
 
 def rerank_top(spark, sf_dir):
     q, r, p = _parents(spark, sf_dir)
-    texts = r.groupBy("parent_id").agg(F.max("text").alias("parent_text"))
+    texts = r.groupBy("parent_id").agg(F.max("parent_content").alias("parent_text"))  # one text per parent
     asked = q.select("query_id", F.col("text").alias("query_text"))
     return ranking.rerank(p.join(texts, "parent_id").join(asked, "query_id")).select("query_id", "parent_id", "rerank_score", "final_rank")
 

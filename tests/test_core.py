@@ -111,6 +111,14 @@ def test_fusion_and_parents(spark):
     assert got == [(1, "a", 0.81, 2, ["1", "2"], 1, False), (2, "b", 0.77, 1, ["3"], 3, False), (3, "c", 0.1, 2, ["4", "5"], 4, True)]
 
 
+def test_rerank_reads_the_whole_parent(spark, tmp_path):
+    rows = [("0" * 64, "P1", "alpha beta", "alpha beta\nzzz"), ("1" * 64, "P1", "zzz", "alpha beta\nzzz"), ("2" * 64, "P2", "alpha", "alpha")]
+    df = spark.createDataFrame([(i, p, t, c, [1.0, 0.0], {1: 1.0}, None, "manual", None, "en") for i, p, t, c in rows], "id string, parent_id string, text string, parent_content string, dense_vector array<double>, sparse_vector map<bigint,double>, equipment_model string, knowledge_type string, manufacturer string, language string")
+    df.write.parquet(str(tmp_path / "chunks.parquet"))
+    got = one(search.rerank_top(spark, str(tmp_path)), "query_id", "parent_id", "rerank_score", "final_rank")
+    assert sorted(got) == [("0" * 64, "P1", 1.0, 1), ("0" * 64, "P2", 0.5, 2)]
+
+
 def test_weighted_and_reciprocal_fusion(spark):
     d = spark.createDataFrame([(1, "a", 0.5, 1), (1, "b", 0.4, 2)], "query_id int, row_id string, score double, rank int")
     s = spark.createDataFrame([(1, "b", 1.0, 1), (1, "c", 0.9, 2)], "query_id int, row_id string, score double, rank int")
