@@ -56,10 +56,9 @@ def _newest(spark, sf_dir, back):
 
 
 def decisions(spark, sf_dir):
-    """What ingestion would do with the newest snapshot's documents, given the manifest before it and the child ids that manifest recorded."""
-    before = _newest(spark, sf_dir, 2)
-    stored = before.select("document_id", F.explode("child_ids").alias("child_id"))
-    d = ingestion.decide(_newest(spark, sf_dir, 1), before, stored)
+    """What ingestion would do with the newest snapshot's documents, given the manifest before it and the child ids stored in chunks."""
+    stored = table(spark, sf_dir, "chunks").where("document_id is not null and child_id is not null").select("document_id", F.lower("child_id").alias("child_id")).distinct()
+    d = ingestion.decide(_newest(spark, sf_dir, 1), _newest(spark, sf_dir, 2), stored)
     return d.groupBy("decision").agg(F.count("*").alias("n_documents"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lathework.functions import text
 from lathework.operators import analysis, chunking, evaluation, fastpath, guards, ingestion, lexical, ranking, sessions, vectors
-from lathework.plans import search
+from lathework.plans import records, search
 from lathework.sources import files, store
 from lathework.streaming import ingest
 
@@ -205,6 +205,16 @@ def test_decisions_and_delta(spark):
     assert one(ingestion.id_delta(b, a, "d", "c"), "added", "retained", "removed") == [(1, 2, 1)]
 
 
+def test_decisions_look_at_the_stored_ids(spark, tmp_path):
+    t = dt.datetime(2025, 1, 1)
+    rows = [(n, t, d, "1", "a", "m", "s", [" K1", "k2"]) for n in (1, 2) for d in ("same", "lost", "more", "none")]
+    manifest = "snapshot_no int, delivered_at timestamp, document_id string, active_document_version string, document_sha256 string, metadata_sha256 string, processing_signature string, child_ids array<string>"
+    spark.createDataFrame(rows, manifest).write.parquet(str(tmp_path / "active_documents.parquet"))
+    stored = [("same", "k1"), ("same", "K2"), ("same", "k2"), ("lost", "k1"), ("more", "k1"), ("more", "k2"), ("more", "k3")]
+    spark.createDataFrame(stored, "document_id string, child_id string").write.parquet(str(tmp_path / "chunks.parquet"))
+    assert dict(one(records.decisions(spark, str(tmp_path)), "decision", "n_documents")) == {"SKIP_UNCHANGED": 1, "RECONCILE": 3}
+
+
 def test_fingerprint_does_not_depend_on_order(spark):
     rows = [(i, None if i % 3 else "x") for i in range(50)]
     f = lambda r: ingestion.fingerprint(spark.createDataFrame(r, "a int, b string"), ["a", "b"]).first()
