@@ -43,8 +43,6 @@ AS_DIGIT = {"O": "0", "o": "0", "Q": "0", "D": "0", "l": "1", "I": "1", "|": "1"
 PAGE_WORDS = "page pages pag página pág seite s p pp стр страница strona side sida blz".split()
 PAGE_OF = "of von de из sur di av".split()
 
-#: Largest edit distance of a candidate, by the length of the word.
-DISTANCE = ((4, 1), (99, 2))
 #: Bits of the bitmap of misread terms.
 BITMAP_BITS = 1 << 22
 
@@ -79,6 +77,19 @@ def fold(s: str) -> str:
     return s.lower().translate(_TO_CLASS)
 
 
+def fold_column(c: Column) -> Column:
+    """:func:`fold` of a column."""
+    c = F.lower(c)
+    for k, v in DRAWN_AS_PAIR.items():
+        c = F.replace(c, F.lit(k), F.lit(v))
+    return F.translate(c, "".join(DRAWN_ALIKE), "".join(g[0] * len(g) for g in DRAWN_ALIKE))
+
+
+def most_edits(length: int) -> int:
+    """Largest edit distance of a candidate, by the length of the word: half of it, and 1 up to four letters."""
+    return length // 2 if length > 4 else 1
+
+
 @lru_cache(10_000)
 def folded_title(title: str | None) -> tuple[str, tuple[str, ...]]:
     """The folded title, and three parts of it of which one is whole wherever at most two characters differ."""
@@ -308,24 +319,15 @@ def candidates(key, vocabulary: pd.DataFrame, queries: pd.DataFrame) -> pd.DataF
     trie = Trie(vocabulary["term"])
     found = []
     for q in queries["term"]:
-        most = next(d for length, d in DISTANCE if len(q) <= length)
-        f = fold(q)
-        found.extend((q, t, d) for t, d in trie.within(q, most) if fold(t) == f)
+        found.extend((q, t, d) for t, d in trie.within(q, most_edits(len(q)), fold))
     return pd.DataFrame(found, columns=["term", "candidate", "distance"])
 
 
 def _sharded(vocabulary: DataFrame, queries: DataFrame, per_shard: int) -> DataFrame:
-    """Candidates of all queries: shards by length and hash on either side hold about ``per_shard`` terms."""
-    n_v, n_q = vocabulary.count(), queries.count()
-    v_parts, q_parts = max(1, -(-n_v // (per_shard * 4))), max(1, -(-n_q // per_shard))
-    reach = max(d for _, d in DISTANCE)
-    v = vocabulary.select("term", F.length("term").alias("len"), F.pmod(F.xxhash64("term"), F.lit(v_parts)).cast("int").alias("vh"), F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("qh"))
-    q = (
-        queries.select("term", F.pmod(F.xxhash64("term"), F.lit(q_parts)).cast("int").alias("qh"), F.explode(F.sequence(F.length("term") - reach, F.length("term") + reach)).alias("len"))
-        .where("len > 0")
-        .withColumn("vh", F.explode(F.sequence(F.lit(0), F.lit(v_parts - 1))))
-    )
-    keys = ["len", "vh", "qh"]
+    """Candidates of all queries: shards of about ``per_shard`` terms by the hash of what a term is drawn like, which is the same for a word and its misreadings of any length."""
+    parts = max(1, -(-vocabulary.count() // (per_shard * 4)), -(-queries.count() // per_shard), vocabulary.sparkSession.sparkContext.defaultParallelism)
+    v, q = (df.select("term", F.pmod(F.xxhash64(fold_column(F.col("term"))), F.lit(parts)).cast("int").alias("shard")) for df in (vocabulary, queries))
+    keys = ["shard"]
     return v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(candidates, "term string, candidate string, distance int")
 
 

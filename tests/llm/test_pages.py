@@ -79,6 +79,21 @@ def test_tables_without_scans(spark):
     assert op.noisy_lines(places).count() == 0
 
 
+def test_long_words(spark):
+    long = "qwertzu" * 60
+    words = ["illumination", "communication", "commissioning", long]
+    queries = {"il1urninatiqn": "illumination", "i11uminati0n": "illumination", "cornrnunication": "communication", "comrnissi0ning": "commissioning", "x" * 300: None, long[:-1] + "m": None, long.replace("qw", "gvv", 1): None}
+    queries |= {long.replace("tz", "f2", 9): long, "e" + "0" * 200_000: None}
+    v, q = (spark.createDataFrame([(w,) for w in x], "term string") for x in (words, queries))
+    assert {r.term: r.candidate for r in op._sharded(v, q, 3).collect()} == {k: w for k, w in queries.items() if w}
+
+
+def test_a_scan_with_a_very_long_word(spark):
+    extra = [("t", "s2", "S2", "Manual X", SCAN.replace("\n", "\n" + "path" * 120 + "\n", 2), "")]
+    rows, places = op.noisy_places(tables(spark, extra))
+    assert {r.row_key for r in op.noisy_lines(places).collect()} == {"s", "s2"}
+
+
 def test_shards_give_what_one_shard_gives(spark):
     r = random.Random(0)
     words = sorted({"".join(r.choice("aeclotm") for _ in range(r.randint(2, 7))) for _ in range(300)})
