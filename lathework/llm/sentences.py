@@ -77,6 +77,7 @@ WORD = regex.compile(r"[\p{L}\p{M}\p{N}·№'’.\-]+\Z")
 LIST_MARK = regex.compile(r"\s*(?:[-–•*·]\s*)?(?:[(（]?(?:\d{1,3}|\p{L}|[ivxIVX]{1,5})[.)）．])?\s*\Z")
 PARTS = regex.compile("|".join(rf"(?<!\w){r'\.\s?'.join(map(regex.escape, p.split('. ')))}\." for p in sorted(IN_PARTS, key=len, reverse=True)))
 STRONG = regex.compile(r"\p{SB=ST}")
+SPACE = regex.compile(r"[\s\x1c-\x1f]*")
 HAN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々〇]")
 WRAPPED = regex.compile(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}])[^\S\r\n]*\r?\n\s*(?=[\p{Han}\p{Hiragana}\p{Katakana}])")
 UNCASED = regex.compile(r"\p{Lo}")
@@ -108,7 +109,7 @@ def _quotations(t: str) -> list[tuple[int, int]]:
 
 def _goes_on(t: str, o: int, e: int, first: bool) -> bool:
     """Whether the sentence of the quotation or bracket that opens at ``o`` goes on at ``e``, after its closing marks."""
-    rest = t[e : e + 60]
+    rest = t[e : SPACE.match(t, e).end() + 60]
     s = WRAPPED.sub("", rest).lstrip()
     if not s:
         return False
@@ -133,7 +134,7 @@ def _goes_on(t: str, o: int, e: int, first: bool) -> bool:
 
 def _breaks(t: str, a: int, b: int, e: int, start: int) -> bool:
     """Whether the marks ``t[a:b]``, with closing marks up to ``e``, end the sentence that began at ``start``."""
-    marks, rest = t[a:b], t[e : e + 40]
+    marks, rest = t[a:b], t[e : SPACE.match(t, e).end() + 40]
     s = rest.lstrip()
     if not s:
         return True

@@ -38,6 +38,13 @@ def test_units_without_spaces(units):
     assert cut("".join(units)) == units
 
 
+def test_wide_gaps():
+    for n in (1, 39, 40, 80):
+        gap = " " * n
+        assert cut(f"Ask Dr.{gap}Smith now. Then go.") == [f"Ask Dr.{gap}Smith now.", "Then go."]
+        assert len(cut(f"„Halt!“{gap}{' ' * 30}rief der Mann. Er ging.")) == 2
+
+
 def test_thai_spaces():
     units = ["ใช้จาระบีเบอร์ 2 หรือ 3 เท่านั้น", "หมุนแหวนซีลช้า ๆ จนหยุดสนิท", "ตั้งสำหรับเครื่อง NØRD IV-47 เท่านั้น", "ทำไมไม่ทำงาน"]
     assert cut(" ".join(units)) == units
