@@ -43,14 +43,17 @@ AS_DIGIT = {"O": "0", "o": "0", "Q": "0", "D": "0", "l": "1", "I": "1", "|": "1"
 PAGE_WORDS = "page pages pag página pág seite s p pp стр страница strona side sida blz".split()
 PAGE_OF = "of von de из sur di av".split()
 
-#: Bits of the bitmap of misread terms.
-BITMAP_BITS = 1 << 22
+#: Least and most bits of the bitmap of misread terms; the most are 32 MB.
+BITMAP_BITS = 1 << 22, 1 << 28
+#: How many times rarer than its candidate a misreading is in clean text at least, and how many times more frequent, beside its candidate, in scans.
+RARER, OFTENER = 20, 3
 
 _IDEO = r"\u3005\u3007\u3041-\u3096\u30a1-\u30fa\u30fc\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0002fa1f"
 _ALNUM, _LETTER = rf"[^\W_{_IDEO}\u0e00-\u0e7f]", rf"[^\W\d_{_IDEO}\u0e00-\u0e7f]"
-LINE = re.compile(r"\r\n|\n|\r")
+LINE = re.compile(r"\n")
 TOKEN = re.compile(rf"{_ALNUM}+(?:[-_/.·'’\u2011]{_ALNUM}+)*")
 IDEOGRAPH = re.compile(f"[{_IDEO}]")
+UNSPACED = re.compile(f"[{_IDEO}\u0e01-\u0e4e]")
 LETTER = re.compile(_LETTER)
 MIXED = re.compile(rf"\d[OoQDlI|SsBZzgqbGA]|(?<!{_LETTER})[OoQlI|SsBZzgqbG]{{1,3}}\d|\d{_LETTER}{{1,2}}\d|{_LETTER}{{2}}\d|{_LETTER}\d{_LETTER}|\d{_LETTER}{{3}}|(?<!\d)\d[a-zà-ÿ]{{2}}")
 DIGITS = re.compile(r"\d+")
@@ -209,17 +212,19 @@ class Run:
         self.length += len(piece)
 
     def trigrams(self) -> Iterator[tuple[str, str, int]]:
-        """(kind, trigram, place of the character meant): c inside, e and f at the first and last character."""
+        """(kind, trigram, place of the character meant): c inside, e and f at the first and last character of a stretch."""
         t = LETTER.sub("a", "".join(self.pieces)).translate(_AS_ZERO)
         last = len(t) - 1
-        if last < 2:
-            return
-        for m in IDEOGRAPH.finditer(t):
+        for m in UNSPACED.finditer(t):
             x = m.start()
-            if 0 < x < last:
-                yield "c", t[x - 1 : x + 2], x
+            if x == 0 or t[x - 1] == "\n":
+                if x + 2 <= last:
+                    yield "e", t[x : x + 3], x
+            elif x == last or t[x + 1] == "\n":
+                if x >= 2:
+                    yield "f", t[x - 2 : x + 1], x
             else:
-                yield ("f", t[x - 2 :], x) if x else ("e", t[:3], x)
+                yield "c", t[x - 1 : x + 2], x
 
     def origin(self, x: int) -> tuple[int, int]:
         k = bisect_right(self.starts, x) - 1
@@ -227,18 +232,18 @@ class Run:
         return line, at + x - self.starts[k]
 
 
-def terms(text: str, title: str | None, scan: bool) -> tuple[list[tuple], Run]:
-    """All terms of a text outside its furniture: (kind, term, line, at, raw, before, after, line2), and the run of ideographs.
+def terms(text: str, kinds: list[str] | None, scan: bool) -> tuple[list[tuple], Run]:
+    """All terms of a text outside its furniture (``kinds`` by line): (kind, term, line, at, raw, before, after, line2), and the run of characters of unspaced scripts.
 
     Kinds: w word in lower case; d digits with letters, as written; m masked
     number; n masked number or single letter with the next word; b pair of words;
     p first part of a compound; h word divided at a line end, with its rest in line2.
     """
     lines = LINE.split(text)
-    kinds = line_kinds(lines, title) if scan else None
     body = [i for i in range(len(lines)) if not kinds or not kinds[i]]
     rest_at: dict[int, int] = {}  # lines that begin with the rest of a divided word, and where the text after it begins
     wraps_anywhere = IDEOGRAPH.search(text) is not None  # lines of such scripts also end within identifiers
+    unspaced = UNSPACED.search(text) is not None
     run = Run()
     out: list[tuple] = []
     add = out.append
@@ -274,18 +279,17 @@ def terms(text: str, title: str | None, scan: bool) -> tuple[list[tuple], Run]:
                             add(("w", part, i, at, raw, "", "", -1))
                 previous = word
             else:
-                if not scan:
-                    add(("m", mask(raw), i, at, raw, "", "", -1))
-                    if len(raw) > 4 and not raw.isalnum():
-                        for part in re.split(r"[\W_]", raw):
-                            add(("m", mask(part), i, at, raw, "", "", -1))
-                    if after and raw.isdigit():
-                        add(("n", "0|" + mask(after), i, at, raw, "", "", -1))
+                add(("m", mask(raw), i, at, raw, "", "", -1))
+                if not scan and len(raw) > 4 and not raw.isalnum():
+                    for part in re.split(r"[\W_]", raw):
+                        add(("m", mask(part), i, at, raw, "", "", -1))
+                if after and raw.isdigit():
+                    add(("N", "0|" + mask(after), i, at, raw, "", "", -1))
                 cut = wraps_anywhere and (at == 0 and k > 0 or at + len(raw) == stop and i < body[-1])
                 if not cut and MIXED.search(raw):
                     add(("d", raw, i, at, raw, previous, after, -1))
                 previous = ""
-        if wraps_anywhere and IDEOGRAPH.search(line):
+        if unspaced and UNSPACED.search(line):
             piece = line[start:stop]
             run.add(piece.strip(), i, start + len(piece) - len(piece.lstrip()))
         elif line.strip():
@@ -298,16 +302,16 @@ def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: Counter = Counter()
 
     def out() -> pd.DataFrame:
-        rows = [(s, k, t, n) for (s, k, t), n in counts.items()]
+        rows = [(k, t, 0 if s else n, n if s else 0) for (s, k, t), n in counts.items()]
         counts.clear()
-        return pd.DataFrame(rows, columns=["scan", "kind", "term", "n"])
+        return pd.DataFrame(rows, columns=["kind", "term", "c", "s"])
 
     for batch in batches:
         for text, title, scan in zip(batch["text"], batch["title"], batch["scan"]):
             scan = bool(scan)
-            found, run = terms(text, title, scan)
-            only = "wdnh" if scan else "wdmnbp"
-            counts.update([(scan, x[0], x[1]) for x in found if x[0] in only])
+            found, run = terms(text, line_kinds(LINE.split(text), title) if scan else None, scan)
+            only = "wdmnNh" if scan else "wmnNbph"
+            counts.update([(scan, x[0].lower(), x[1]) for x in found if x[0] in only])
             counts.update([(scan, kind, t) for kind, t, _ in run.trigrams() if scan or kind == "c"])
         if len(counts) > 300_000:
             yield out()
@@ -315,20 +319,45 @@ def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def candidates(key, vocabulary: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    """For one shard: every vocabulary term within the distance of a query whose difference is one of characters drawn alike."""
-    trie = Trie(vocabulary["term"])
+    """For one shard: of each segment, the vocabulary's terms within the distance of the queries that share it.
+
+    Segments = hold what a term is drawn like, so the distance may be half the word and the automaton
+    follows only letters drawn like the query's; all others hold a piece that a single edit leaves whole.
+    """
     found = []
-    for q in queries["term"]:
-        found.extend((q, t, d) for t, d in trie.within(q, most_edits(len(q)), fold))
-    return pd.DataFrame(found, columns=["term", "candidate", "distance"])
+    words = {k: g["term"] for k, g in vocabulary.groupby("segment")}
+    for segment, asked in queries.groupby("segment"):
+        if segment in words:
+            trie, alike = Trie(words[segment]), segment[0] == "="
+            for q in asked["term"]:
+                found.extend((q, t, d, alike or fold(q) == fold(t)) for t, d in (trie.within(q, most_edits(len(q)), fold) if alike else trie.within(q, 1)) if d)
+    return pd.DataFrame(found, columns=["term", "candidate", "distance", "alike"])
+
+
+def _segments(of: Column, alike: Column, near: Column, spread: int) -> Column:
+    """Segments by which a term and its candidates meet: what it is drawn like; its halves at lengths up to ``spread`` off (pigeonhole for one edit)."""
+    parts = [F.when(alike, F.concat(F.lit("="), fold_column(of)))]
+    for off in range(-spread, spread + 1):
+        n = F.length(of) + off
+        half = F.floor(n / 2).cast("int")
+        parts += [F.when(near & (n > 4), F.concat(F.lit(mark), n.cast("string"), F.lit(":"), piece)) for mark, piece in (("<", F.substring(of, F.lit(1), half)), (">", F.right(of, n - half)))]
+    return F.array_distinct(F.array_compact(F.array(*parts)))
+
+
+def _of_characters(kinds: list[str]) -> Column:
+    """Segments of a trigram: its two characters beside the one in question."""
+    rest = {"c": F.concat(F.substring("term", 1, 1), F.substring("term", 3, 1)), "e": F.substring("term", 2, 2), "f": F.substring("term", 1, 2)}
+    return F.array(*(F.concat(F.lit(k), rest[k]) for k in kinds))
 
 
 def _sharded(vocabulary: DataFrame, queries: DataFrame, per_shard: int) -> DataFrame:
-    """Candidates of all queries: shards of about ``per_shard`` terms by the hash of what a term is drawn like, which is the same for a word and its misreadings of any length."""
+    """Candidates of all queries (term, segments) in the vocabulary (term, segments): ``term, candidate, distance, alike``.
+
+    A query meets only terms that share a segment; segments are hashed to shards of about ``per_shard`` rows.
+    """
     parts = max(1, -(-vocabulary.count() // (per_shard * 4)), -(-queries.count() // per_shard), vocabulary.sparkSession.sparkContext.defaultParallelism)
-    v, q = (df.select("term", F.pmod(F.xxhash64(fold_column(F.col("term"))), F.lit(parts)).cast("int").alias("shard")) for df in (vocabulary, queries))
-    keys = ["shard"]
-    return v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(candidates, "term string, candidate string, distance int")
+    v, q = (df.select("term", F.explode("segments").alias("segment")).withColumn("shard", F.pmod(F.xxhash64("segment"), F.lit(parts)).cast("int")) for df in (vocabulary, queries))
+    return v.groupBy("shard").cogroup(q.groupBy("shard")).applyInPandas(candidates, "term string, candidate string, distance int, alike boolean").distinct()
 
 
 def _pairs_known(found: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -364,116 +393,174 @@ def _digits_of(c: Column) -> Column:
     return c
 
 
+def _more_in_scans(c: str, s: str, cc: str | Column, sc: str | Column) -> Column:
+    """Whether a term (``c`` times in clean text, ``s`` in scans) is a misreading of its candidate (``cc``, ``sc``).
+
+    A right word is as frequent beside its candidate in scans as elsewhere. A misreading is unknown to
+    clean text, or got there by documents not recognised as scans: far rarer there than its candidate,
+    and rarer than in scans. Both tests are ratios, so they hold at every size.
+    """
+    col = lambda x: F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(0))
+    c, s, cc, sc = map(col, (c, s, cc, sc))
+    return (c == 0) | (cc >= RARER * c) & (s * cc >= OFTENER * (c + 1) * F.greatest(sc, F.lit(1)))
+
+
 def misread_terms(counted: DataFrame, per_shard: int = 5000) -> DataFrame:
-    """The misread terms of scans: ``kind, term, candidate, weight``, one row per candidate."""
-    vocabulary = counted.where("not scan and n > 0").select("kind", "term", "n")
-    scanned = counted.where("scan").select("kind", "term")
-    unknown = written(scanned.where("kind <> 'h'").join(vocabulary.select("kind", "term"), ["kind", "term"], "left_anti"), "pages-unknown")
-
-    words = vocabulary.where("kind = 'w' and length(term) > 1").select("term", "n")
-    divided = written(_pairs_known(scanned, vocabulary), "pages-divided")
-    joined = divided.where("not known and whole is not null").select(F.col("whole").alias("term"))
-    queries = unknown.where("kind = 'w' and length(term) > 1").select("term").unionByName(joined).unionByName(
-        unknown.where("kind = 'd'").select(F.lower("term").alias("term"))
-    ).distinct().join(words.select("term"), "term", "left_anti")
-    close = _sharded(words.select("term"), queries, per_shard).join(words.select(F.col("term").alias("candidate"), "n"), "candidate")
-    weight = (F.log1p("n") - 4 * F.col("distance")).alias("weight")
-    by_word = close.select(F.lit("w").alias("kind"), "term", "candidate", weight)
-    by_divided = divided.where("not known").join(close, F.col("whole") == close["term"]).select(F.lit("h").alias("kind"), divided["term"], "candidate", weight, "breaks")
-
-    # digits with letters: a spelling or a mask that the vocabulary has is right
-    masks = vocabulary.where("kind = 'm'").select(F.col("term").alias("mask"))
-    digits = unknown.where("kind = 'd'").select("term", F.regexp_replace("term", r"\d+", "0").alias("mask")).join(masks, "mask", "left_anti")
-    digits = digits.select("term", _digits_of(F.col("term")).alias("candidate")).withColumn("mask", F.regexp_replace("candidate", r"\d+", "0"))
-    right = masks.select("mask", F.lit(True).alias("seen"))
+    """The misread terms of scans: ``kind, term, candidate, weight, cost, breaks``, one row per candidate.
+
+    ``counted``: kind, term, c (times in clean text), s (times in scans). ``cost`` is 0 for differences of
+    characters drawn alike and 1 for another single character, which then also needs its context.
+    """
+    vocabulary = counted.where("c > 0")
+    words = vocabulary.where("kind = 'w' and length(term) > 1").select("term", "c", "s")
+    tri = vocabulary.where("kind = 'c'").select("term", "c", "s")
+    whole_text = counted.where("kind in ('w', 'c')").groupBy("kind").agg(F.sum("c").alias("all_c"), F.sum("s").alias("all_s"))
+    rate = F.broadcast(whole_text)  # two rows
+    suspect = written(
+        counted.where("s > 0 and kind in ('w', 'c') and length(term) > 1").join(rate, "kind")
+        .where((F.col("c") == 0) | (F.col("s") * F.col("all_c") >= 2 * (F.col("c") + 1) * F.col("all_s"))).select("kind", "term", "c", "s"),
+        "pages-suspect",
+    )
+    asked = suspect.where("kind = 'w'").select("term", "c", "s")
+    digits = counted.where("kind = 'd' and s > 0").select("term").join(counted.where("kind = 'x'").select("term"), "term", "left_anti").withColumn("mask", F.regexp_replace("term", r"\d+", "0"))
+
+    divided = written(_pairs_known(counted.where("s > 0 or kind = 'h'"), vocabulary), "pages-divided")
+    joined = divided.where("whole is not null").select(F.col("whole").alias("term"), "known")
+    joined = joined.where("not known").select("term").unionByName(joined.where("known").join(asked, "term", "left_semi").select("term"))
+    queries = asked.select("term", (F.col("c") == 0).alias("near")).unionByName(joined.unionByName(digits.select(F.lower("term").alias("term"))).withColumn("near", F.lit(False)))
+    queries = queries.groupBy("term").agg(F.max("near").alias("near"))
+    yes = F.lit(True)
+    odd = suspect.where("kind = 'c'").select("term", _of_characters(["c"]).alias("segments"))
+    edge = counted.where("kind in ('e', 'f')").select("term", F.when(F.col("kind") == "e", _of_characters(["e"])).otherwise(_of_characters(["f"])).alias("segments"))
+    every = queries.select("term", _segments(F.col("term"), yes, F.col("near"), 1).alias("segments")).unionByName(odd).unionByName(edge)
+    known = words.select("term", _segments(F.col("term"), yes, yes, 0).alias("segments")).unionByName(tri.select("term", _of_characters(["c", "e", "f"]).alias("segments")))
+    close = written(_sharded(known, every, per_shard), "pages-close")
+
+    weight = (F.log1p("cc") - 4 * F.col("distance")).alias("weight")
+    as_candidate = words.select(F.col("term").alias("candidate"), F.col("c").alias("cc"), F.col("s").alias("sc"))
+    near = close.join(as_candidate, "candidate")
+    inner = F.length("term") > 4
+    for edge_of in (F.substring("term", 1, 1) == F.substring("candidate", 1, 1), F.right("term", F.lit(1)) == F.right("candidate", F.lit(1)), F.length("term") == F.length("candidate")):
+        inner = inner & edge_of
+    one_letter = (F.col("c") == 0) & inner & (F.col("distance") == 1) & (F.col("cc") >= RARER * F.col("s"))
+    cost = F.when(F.col("alike"), 0).otherwise(1).alias("cost")
+    by_word = asked.join(near, "term").where(F.col("alike") & _more_in_scans("c", "s", "cc", "sc") | ~F.col("alike") & one_letter).select(F.lit("w").alias("kind"), "term", "candidate", weight, cost)
+    own = asked.select(F.col("term").alias("whole"), "c", "s")
+    by_divided = (
+        divided.join(near.where("alike").withColumnRenamed("term", "whole"), "whole").join(own, "whole", "left")
+        .where(~F.col("known") | F.col("c").isNotNull() & _more_in_scans("c", "s", "cc", "sc")).select(F.lit("h").alias("kind"), "term", "candidate", weight, "breaks")
+    )
+
+    # digits with letters: judged by their masks
+    masks = counted.where("kind = 'm'").select(F.col("term").alias("mask"), "c", "s")
+    right = masks.select(F.col("mask").alias("right"), F.col("c").alias("cc"), F.col("s").alias("sc"))
+    digits = digits.join(masks, "mask", "left").fillna(0, ["c", "s"])
     numberlike = rf"^(?:{NUMBER})(?:[.,]{NUMBER})*$"
-    by_digits = digits.join(right, "mask", "left").where((F.col("candidate") != F.col("term")) & (F.col("seen") | F.col("term").rlike(numberlike))).select(F.lit("d").alias("kind"), "term", "candidate", F.lit(0.0).alias("weight"))
-    by_letters = close.join(digits.where(~F.col("term").rlike(numberlike)).select(F.col("term").alias("raw")), F.lower("raw") == F.col("term")).select(F.lit("d").alias("kind"), F.col("raw").alias("term"), "candidate", weight)
+    as_number = digits.withColumn("candidate", _digits_of(F.col("term"))).where("candidate <> term").withColumn("right", F.regexp_replace("candidate", r"\d+", "0"))
+    by_digits = (
+        as_number.join(right, "right", "left").fillna(0, ["cc", "sc"])
+        .where(((F.col("cc") > 0) | F.col("term").rlike(numberlike)) & _more_in_scans("c", "s", "cc", "sc")).select(F.lit("d").alias("kind"), "term", "candidate", F.lit(0.0).alias("weight"))
+    )
+    as_word = digits.where(~F.col("term").rlike(numberlike)).select(F.col("term").alias("raw"), F.lower("term").alias("term"), "c", "s")
+    by_letters = as_word.join(near.where("alike"), "term").where(_more_in_scans("c", "s", "cc", "sc")).select(F.lit("d").alias("kind"), F.col("raw").alias("term"), "candidate", weight)
 
     # single letters in the place of a number
-    places = vocabulary.where("kind = 'n' and term like '0|_%'").select(F.substring_index("term", "|", -1).alias("after"))
-    letters = unknown.where("kind = 'n'").select("term", F.substring_index("term", "|", 1).alias("raw"), F.substring_index("term", "|", -1).alias("after"))
-    own = vocabulary.where("kind = 'w'").select(F.col("term").alias("own"))
+    places = vocabulary.where("kind = 'n' and term like '0|_%'").select(F.substring_index("term", "|", -1).alias("after"), F.col("c").alias("cc"), F.col("s").alias("sc"))
+    letters = counted.where("kind = 'n' and s > 0 and term not like '0|%'").select("term", F.substring_index("term", "|", 1).alias("raw"), F.substring_index("term", "|", -1).alias("after"), "c", "s")
+    word_itself = words.select("term").join(asked.select("term"), "term", "left_anti").withColumnRenamed("term", "own")
     by_letter = (
-        letters.where(F.translate("raw", "lIOSBZ", "") == "").join(places, "after").join(own, F.lower("raw") == F.col("own"), "left_anti")
+        letters.where(F.translate("raw", "lIOSBZ", "") == "").join(places, "after").where(_more_in_scans("c", "s", "cc", "sc")).join(word_itself, F.lower("raw") == F.col("own"), "left_anti")
         .select(F.lit("n").alias("kind"), "term", F.translate("raw", "lIOSBZ", "110582").alias("candidate"), F.lit(0.0).alias("weight"))
     )
 
-    # characters: neither neighbour was ever seen beside it, and another character fits between both
-    tri = vocabulary.where("kind = 'c'").select(F.substring("term", 1, 1).alias("p"), F.substring("term", 2, 1).alias("c"), F.substring("term", 3, 1).alias("q"), "n")
-    odd = unknown.where("kind = 'c'").select("term", F.substring("term", 1, 1).alias("p"), F.substring("term", 2, 1).alias("c"), F.substring("term", 3, 1).alias("q"))
-    left, right2 = tri.select("p", "c").distinct(), tri.select("c", "q").distinct()
-    odd = odd.join(left, ["p", "c"], "left_anti").join(right2, ["c", "q"], "left_anti")
-    between = tri.select("p", F.col("c").alias("candidate"), "q", "n")
-    is_letter = F.col("candidate").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")
-    by_char = odd.join(between, ["p", "q"]).where(is_letter).select(F.lit("c").alias("kind"), "term", "candidate", F.log1p("n").alias("weight"))
-    once = tri.select("c").distinct()
-    edge = unknown.where("kind in ('e', 'f')").select("kind", "term", F.substring("term", 1, 1).alias("x"), F.substring("term", 2, 1).alias("y"), F.substring("term", 3, 1).alias("z"))
-    first = edge.where("kind = 'e'").join(once.select(F.col("c").alias("x")), "x", "left_anti").join(tri.select(F.col("p").alias("candidate"), F.col("c").alias("y"), F.col("q").alias("z"), "n"), ["y", "z"])
-    last = edge.where("kind = 'f'").join(once.select(F.col("c").alias("z")), "z", "left_anti").join(tri.select(F.col("p").alias("x"), F.col("c").alias("y"), F.col("q").alias("candidate"), "n"), ["x", "y"])
-    by_edge = first.unionByName(last, allowMissingColumns=True).where(is_letter).select("kind", "term", "candidate", F.log1p("n").alias("weight"))
+    # characters: another one fits between both neighbours, and beside each of them this one is a misreading of it
+    p, c, q = (F.substring("term", k, 1) for k in (1, 2, 3))
+    left = counted.where("kind = 'c'").select(F.concat(p, c).alias("pair"), "c", "s").groupBy("pair").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
+    after = counted.where("kind = 'c'").select(F.concat(c, q).alias("pair"), "c", "s").groupBy("pair").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
+    fits = close.join(tri.select(F.col("term").alias("candidate"), "c", "s").withColumnsRenamed({"c": "cc", "s": "sc"}), "candidate").where("distance = 1")
+
+    def beside(df: DataFrame, pairs: DataFrame, first: int) -> DataFrame:
+        """Keeps rows whose term is, in the pair of characters from ``first`` on, a misreading of the candidate."""
+        a, b = (pairs.select(F.col("pair").alias(f"pair_{x}"), F.col("c").alias(f"c_{x}"), F.col("s").alias(f"s_{x}")) for x in "ab")
+        df = df.join(a, F.substring("term", first, 2) == F.col("pair_a"), "left").join(b, F.substring("candidate", first, 2) == F.col("pair_b"), "left")
+        return df.where(_more_in_scans("c_a", "s_a", "c_b", "s_b")).drop("pair_a", "pair_b", "c_a", "c_b", "s_a", "s_b")
+
+    is_letter = lambda k: F.substring("candidate", k, 1).rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]")
+    of_kind = lambda kind, k: fits.join(counted.where(F.col("kind") == kind).select("term", F.col("c").alias("own_c"), F.col("s").alias("own_s")), "term").where(is_letter(k) & (F.regexp_replace("term", "(?s)^(.{%d})." % (k - 1), "$1") == F.regexp_replace("candidate", "(?s)^(.{%d})." % (k - 1), "$1")))
+    inside = beside(beside(of_kind("c", 2).where(_more_in_scans("own_c", "own_s", "cc", "sc")), left, 1), after, 2)
+    first = beside(of_kind("e", 1), left.unionByName(after).groupBy("pair").agg(F.max("c").alias("c"), F.max("s").alias("s")), 1)
+    last = beside(of_kind("f", 3), left.unionByName(after).groupBy("pair").agg(F.max("c").alias("c"), F.max("s").alias("s")), 2)
+    by_char = [df.select(F.lit(kind).alias("kind"), "term", F.substring("candidate", k, 1).alias("candidate"), F.log1p("cc").alias("weight")) for df, kind, k in ((inside, "c", 2), (first, "e", 1), (last, "f", 3))]
 
     breaks = divided.where("breaks").select(F.lit("h").alias("kind"), "term", F.lit(None).cast("string").alias("candidate"), F.lit(-99.0).alias("weight"), "breaks")
-    parts = [by_word, by_divided, by_digits, by_letters, by_letter, by_char, by_edge, breaks]
-    out = parts[0]
-    for part in parts[1:]:
+    out = by_word
+    for part in (by_divided, by_digits, by_letters, by_letter, *by_char, breaks):
         out = out.unionByName(part, allowMissingColumns=True)
-    return written(out.distinct(), "pages-misread")
+    return written(out.fillna(0, ["cost"]).distinct(), "pages-misread")
 
 
 def bitmap_of(misread: DataFrame) -> bytes:
-    """A bitmap of fixed size of the misread terms."""
-    at = F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(BITMAP_BITS))
+    """A bitmap of the misread terms, about 16 bits a term, within :data:`BITMAP_BITS`; more terms cost false hits, which a join takes out, and lose none."""
+    bits = min(BITMAP_BITS[1], max(BITMAP_BITS[0], 1 << (16 * max(1, misread.count()) - 1).bit_length()))
+    at = F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(bits))
     pieces = misread.select(at.alias("at")).groupBy((F.col("at") / 32768).cast("int").alias("piece")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(32768))).alias("bits"))
-    out = bytearray(BITMAP_BITS // 8)
-    for r in pieces.collect():  # at most 128 pieces of 4 KB
+    out = bytearray(bits // 8)
+    for r in pieces.collect():  # at most 32 MB in pieces of 4 KB
         out[r.piece * 4096 : (r.piece + 1) * 4096] = r.bits
     return bytes(out)
 
 
+PLACES = "tbl string, row_key string, document string, scan boolean, line int, kind string, term string, at int, raw string, before string, after string, line2 int"
+
+
 def find_places(batches: Iterator[pd.DataFrame], bits) -> Iterator[pd.DataFrame]:
     """Furniture lines, and the places of terms that the bitmap has."""
-    names = ["tbl", "row_key", "line", "kind", "term", "at", "raw", "before", "after", "line2"]
+    names = [x.split()[0] for x in PLACES.split(", ")]
     bitmap, known = bits.value, {}
+    n_bits = len(bitmap) * 8
 
     def marked(term: str) -> bool:
         if (hit := known.get(term)) is None:
             if len(known) > 500_000:
                 known.clear()
-            at = zlib.crc32(term.encode()) % BITMAP_BITS
+            at = zlib.crc32(term.encode()) % n_bits
             hit = known[term] = bool(bitmap[at >> 3] >> (at & 7) & 1)
         return hit
 
     for batch in batches:
         rows = []
-        for tbl, key, text, title in zip(batch["tbl"], batch["row_key"], batch["text"], batch["title"]):
-            rows.extend((tbl, key, i, k, "", -1, "", "", "", -1) for i, k in enumerate(line_kinds(LINE.split(text), title)) if k)
-            found, run = terms(text, title, True)
-            rows.extend((tbl, key, line, kind, term, at, raw, before, after, line2) for kind, term, line, at, raw, before, after, line2 in found if kind in "wdnh" and marked(term))
+        for tbl, key, document, scan, text, title in zip(batch["tbl"], batch["row_key"], batch["document"], batch["scan"], batch["text"], batch["title"]):
+            of = (tbl, key, document, bool(scan))
+            kinds = line_kinds(LINE.split(text), title)
+            rows.extend((*of, i, k, "", -1, "", "", "", -1) for i, k in enumerate(kinds) if k)
+            found, run = terms(text, kinds, True)
+            rows.extend((*of, line, kind, term, at, raw, before, after, line2) for kind, term, line, at, raw, before, after, line2 in found if kind in "wdnh" and marked(term))
             for kind, term, x in run.trigrams():
                 if marked(term):
                     line, at = run.origin(x)
-                    rows.append((tbl, key, line, kind, term, at, term[{"e": 0, "c": 1, "f": 2}[kind]], "", "", -1))
+                    rows.append((*of, line, kind, term, at, term[{"e": 0, "c": 1, "f": 2}[kind]], "", "", -1))
         yield pd.DataFrame(rows, columns=names)
 
 
 def scan_rows(rows: DataFrame, salts: int = 16) -> DataFrame:
     """``rows`` (tbl, row_key, document, title, text) with ``scan``: whether the document is one.
 
-    Rows of one document are spread over ``salts`` tasks.
+    Rows of one document are spread over ``salts`` tasks; rows without a title get their document's.
     """
 
     def signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found: Counter = Counter()
+            titles: dict = {}
             for d, t, title in zip(b["document"], b["text"], b["title"]):
                 found[d] += shows_scan(t, title)
-            yield pd.DataFrame({"document": list(found), "signs": list(found.values())})
+                titles[d] = title or titles.get(d)
+            yield pd.DataFrame({"document": list(found), "signs": list(found.values()), "known_title": [titles[d] for d in found]})
 
     rows = rows.where("text is not null and row_key is not null").withColumn("document", F.coalesce("document", "row_key"))
-    by_document = rows.select("document", "text", "title").mapInPandas(signs, "document string, signs long").groupBy("document").agg((F.sum("signs") > 0).alias("scan"))
+    by_document = rows.select("document", "text", "title").mapInPandas(signs, "document string, signs long, known_title string").groupBy("document").agg((F.sum("signs") > 0).alias("scan"), F.max("known_title").alias("known_title"))
     spread = by_document.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return written(rows.withColumn("salt", F.pmod(F.xxhash64("row_key"), F.lit(salts)).cast("int")).join(spread, ["document", "salt"]).drop("salt"), "pages-rows")
+    return written(rows.withColumn("salt", F.pmod(F.xxhash64("row_key"), F.lit(salts)).cast("int")).join(spread, ["document", "salt"]).withColumn("title", F.coalesce(F.nullif("title", F.lit("")), "known_title")).drop("salt", "known_title"), "pages-rows")
 
 
 def noisy_places(rows: DataFrame, extra_vocabulary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -483,28 +570,35 @@ def noisy_places(rows: DataFrame, extra_vocabulary: DataFrame | None = None) ->
     """
     spark = rows.sparkSession
     rows = scan_rows(rows)
-    counts = rows.select("text", "title", "scan").mapInPandas(count_terms, "scan boolean, kind string, term string, n long")
+    counts = rows.select("text", "title", "scan").mapInPandas(count_terms, "kind string, term string, c long, s long")
     if extra_vocabulary is not None:
         known = extra_vocabulary.where("term is not null").distinct()
-        for kind, term in (("d", F.col("term")), ("m", F.regexp_replace("term", r"\d+", "0")), ("w", F.lower("term"))):
-            counts = counts.unionByName(known.select(F.lit(False).alias("scan"), F.lit(kind).alias("kind"), term.alias("term"), F.lit(1).cast("long").alias("n")))
-    counted = written(counts.groupBy("scan", "kind", "term").agg(F.sum("n").alias("n")), "pages-terms")
+        for kind, term in (("x", F.col("term")), ("m", F.regexp_replace("term", r"\d+", "0")), ("w", F.lower("term"))):
+            counts = counts.unionByName(known.select(F.lit(kind).alias("kind"), term.alias("term"), F.lit(1).cast("long").alias("c"), F.lit(0).cast("long").alias("s")))
+    counted = written(counts.groupBy("kind", "term").agg(F.sum("c").alias("c"), F.sum("s").alias("s")), "pages-terms")
     misread = misread_terms(counted)
     bits = spark.sparkContext.broadcast(bitmap_of(misread))
-    schema = "tbl string, row_key string, line int, kind string, term string, at int, raw string, before string, after string, line2 int"
-    places = rows.where("scan").select("tbl", "row_key", "text", "title").mapInPandas(partial(find_places, bits=bits), schema)
+    places = rows.select("tbl", "row_key", "document", "scan", "text", "title").mapInPandas(partial(find_places, bits=bits), PLACES)
     places = written(places, "pages-places")
-    pairs = counted.where("not scan and kind = 'b'").select("term", F.col("n").alias("pair_n"))
-    options = places.where("term <> ''").join(misread, ["kind", "term"])
-    context = F.concat_ws(" ", "before", "candidate")
+    pairs = counted.where("kind = 'b' and c > 0").select("term", "c")
+    before, after = (pairs.withColumnsRenamed({"term": f"pair_{x}", "c": f"n_{x}"}) for x in ("before", "after"))
     ranked = (
-        options.join(pairs.withColumnRenamed("term", "pair"), F.when(F.col("before") != "", context) == F.col("pair"), "left")
-        .withColumn("score", F.col("weight") + 2 * F.log1p(F.coalesce("pair_n", F.lit(0))))
-        .groupBy("tbl", "row_key", "line", "kind", "term", "at", "raw", "after", "line2")
+        places.where("term <> ''").join(misread, ["kind", "term"])
+        .join(before, F.when(F.col("before") != "", F.concat_ws(" ", "before", "candidate")) == F.col("pair_before"), "left")
+        .join(after, F.when((F.col("cost") > 0) & (F.col("after") != ""), F.concat_ws(" ", "candidate", "after")) == F.col("pair_after"), "left")
+        .where("cost = 0 or n_before > 0 and n_after > 0")
+        .withColumn("score", F.col("weight") - 4 * F.col("cost") + 2 * F.log1p(F.coalesce("n_before", F.lit(0))))
+        .groupBy("tbl", "row_key", "document", "scan", "line", "kind", "term", "at", "raw", "after", "line2")
         .agg(F.max_by("candidate", F.struct("score", "candidate")).alias("candidate"), F.max("breaks").alias("breaks"))
-    )
-    furniture = places.where("term = ''").select("tbl", "row_key", "line", "kind", "at", "raw", F.lit("").alias("after"), "line2", F.lit(None).cast("string").alias("candidate"), F.lit(None).cast("boolean").alias("breaks"))
-    return rows, ranked.select(furniture.columns).unionByName(furniture)
+    )
+    ranked = written(ranked, "pages-ranked")
+    # a document with misread or divided words is a scan, too, if it shows no furniture
+    also = ranked.where("not scan and (candidate is not null or breaks)").select("document").distinct()
+    noise = ranked.where("scan").unionByName(ranked.where("not scan").join(also, "document", "left_semi"))
+    furniture = places.where("term = '' and scan").unionByName(places.where("term = '' and not scan").join(also, "document", "left_semi"))
+    furniture = furniture.select("tbl", "row_key", "line", "kind", "at", "raw", F.lit("").alias("after"), "line2", F.lit(None).cast("string").alias("candidate"), F.lit(None).cast("boolean").alias("breaks"))
+    rows = rows.join(also.withColumn("also", F.lit(True)), "document", "left").withColumn("scan", F.col("scan") | F.coalesce("also", F.lit(False))).drop("also")
+    return rows, noise.select(furniture.columns).unionByName(furniture)
 
 
 def noisy_lines(places: DataFrame) -> DataFrame:
@@ -555,7 +649,7 @@ def repaired_text(text: str, places: list) -> str:
                 paragraphs.append(current)
             current = s
         elif s:
-            tight = not current or IDEOGRAPH.match(current[-1]) or IDEOGRAPH.match(s[0]) and not current[-1].isascii() or current[-1] in "，。！？；：、（“「"
+            tight = not current or current[-1] == "-" and current[-2:-1].isalnum() and s[0].isalnum() or IDEOGRAPH.match(current[-1]) or IDEOGRAPH.match(s[0]) and not current[-1].isascii() or current[-1] in "，。！？；：、（“「"
             current = current + ("" if tight else " ") + s
     if current:
         paragraphs.append(current)

@@ -2,6 +2,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lathework.llm import pages as op
 from lathework.llm.automata import Trie
@@ -79,13 +80,20 @@ def test_tables_without_scans(spark):
     assert op.noisy_lines(places).count() == 0
 
 
+def terms_of(spark, words, queries, near=True):
+    """Vocabulary and queries with their segments."""
+    yes = F.lit(True)
+    of = lambda x, near, spread: spark.createDataFrame([(w,) for w in x], "term string").withColumn("segments", op._segments(F.col("term"), yes, F.lit(near), spread))
+    return of(words, True, 0), of(queries, near, 1)
+
+
 def test_long_words(spark):
     long = "qwertzu" * 60
     words = ["illumination", "communication", "commissioning", long]
     queries = {"il1urninatiqn": "illumination", "i11uminati0n": "illumination", "cornrnunication": "communication", "comrnissi0ning": "commissioning", "x" * 300: None, long[:-1] + "m": None, long.replace("qw", "gvv", 1): None}
     queries |= {long.replace("tz", "f2", 9): long, "e" + "0" * 200_000: None}
-    v, q = (spark.createDataFrame([(w,) for w in x], "term string") for x in (words, queries))
-    assert {r.term: r.candidate for r in op._sharded(v, q, 3).collect()} == {k: w for k, w in queries.items() if w}
+    v, q = terms_of(spark, words, queries, near=False)
+    assert {r.term: r.candidate for r in op._sharded(v, q, 3).where("alike").collect()} == {k: w for k, w in queries.items() if w}
 
 
 def test_a_scan_with_a_very_long_word(spark):
@@ -98,6 +106,50 @@ def test_shards_give_what_one_shard_gives(spark):
     r = random.Random(0)
     words = sorted({"".join(r.choice("aeclotm") for _ in range(r.randint(2, 7))) for _ in range(300)})
     queries = sorted({w.replace("c", "e").replace("m", "rn") for w in words} - set(words))
-    v, q = (spark.createDataFrame([(w,) for w in x], "term string") for x in (words, queries))
+    v, q = terms_of(spark, words, queries)
     one = {tuple(x) for x in op._sharded(v, q, 10_000).collect()}
     assert {tuple(x) for x in op._sharded(v, q, 20).collect()} == one != set()
+
+
+def test_every_word_within_one_edit_is_retrieved(spark):
+    r = random.Random(1)
+    words = sorted({"".join(r.choice("abcd") for _ in range(r.randint(5, 8))) for _ in range(200)})
+    queries = sorted({"".join(r.choice("abcd") for _ in range(r.randint(5, 8))) for _ in range(60)} - set(words))
+    got = {(x.term, x.candidate) for x in op._sharded(*terms_of(spark, words, queries), 50).where("distance = 1").collect()}
+    assert got == {(q, w) for q in queries for w in words if distance(q, w) == 1} != set()
+
+
+def line_hits(spark, scans, clean):
+    """Misread (row, line) of rows of ``scans``, each a document, beside rows of ``clean``."""
+    rows = [("t", f"c{i}", f"D{i}", "Title", s) for i, s in enumerate(clean)] + [("t", k, k, "Manual X", s) for k, s in scans.items()]
+    _, places = op.noisy_places(spark.createDataFrame(rows, "tbl string, row_key string, document string, title string, text string"))
+    return {(r.row_key, r.line_no) for r in op.noisy_lines(places).where("noise_kind = 'misread'").collect()}
+
+
+def test_misreads_in_unrecognised_scans_do_not_become_words(spark):
+    clean = ["Stop the machine and check the valve.", "更换滤芯前必须切断电源。点检表上签字。"] * 60
+    noisy = "Manual X\n\nStop the machlne and check the valve.\n更换滤芯前必须切断电源。点捡表上签字。\nPage 4 of 9"
+    hidden = {"u": "Stop the machlne and check the valve.\n点捡表上签字。"}
+    got = line_hits(spark, {f"s{i}": noisy for i in range(8)} | hidden, clean)
+    assert got == {(f"s{i}", n) for i in range(8) for n in (3, 4)} | {("u", 1), ("u", 2)}
+
+
+def test_rare_words_are_no_misreads(spark):
+    clean = ["The test of the valve is done."] * 80 + ["The fest of the town is done."] * 2
+    scans = {f"s{i}": "The test of the valve is done.\nPage 4 of 9" for i in range(80)} | {"x": "The fest of the town is done.\nPage 3 of 9"}
+    assert line_hits(spark, scans, clean) == set()
+
+
+def test_a_letter_not_drawn_alike_needs_its_context(spark):
+    clean = ["Start the pumps near the door and use the valves now."] * 60 + ["давление масла в норме."] * 60
+    scans = {"s": "Start the punps near the door and use the valyes now.\nPage 4 of 9", "r": "Page 2 of 9\nМера давпение масла в норме.", "o": "Page 2 of 9\nOld punps leak."}
+    assert line_hits(spark, scans, clean) == {("s", 1)}
+
+
+def test_thai_characters(spark):
+    clean = ["ทำความสะอาดไส้กรองอากาศแล้วเป่าให้แห้ง"] * 40
+    assert line_hits(spark, {"s": "Page 2 of 9\nทำความสะอาคไส้กรองอากาศแล้วเป่าให้แห้ง"}, clean) == {("s", 2)}
+
+
+def test_line_numbers_count_line_feeds_only(spark):
+    assert line_hits(spark, {"s": "Page 2 of 9\nStop\rnow.\r\nStop the machlne."}, ["Stop the machine now."] * 30) == {("s", 3)}
