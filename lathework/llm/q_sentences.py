@@ -16,7 +16,7 @@ def p8_found(spark, sf_dir):
 def p8_lengths(spark, sf_dir):
     """Sentences and their lengths by language label."""
     docs = table(spark, sf_dir, "documents")
-    found = op.sentences(docs, key="doc_id", text="text").join(docs.select("doc_id", "lang"), "doc_id")
+    found = op.sentences(docs, key="doc_id", text="text").join(docs.select("doc_id", "lang").distinct(), "doc_id")
     return found.groupBy("lang").agg(
         F.count("*").alias("n_sentences"),
         F.avg(F.col("end_char") - F.col("start_char") + 1).alias("avg_chars"),

@@ -10,7 +10,9 @@ small helper handles one text at a time and gives positions, no copies.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,8 +65,28 @@ GOES_ON = {
 # Words before a Chinese quotation that leave the sentence open after it.
 LEFT_OPEN = "把将被对在用以与和跟从向给比按"
 
-_words = lambda table: {x for v in table.values() for w in v.split() for x in (w, w[:1].upper() + w[1:])}
-NEVER, NUMBERED, MAYBE, FIRMS = _words(NEVER_FINAL), _words(BEFORE_NUMBER), _words(MAYBE_FINAL), set(FIRM.split())
+# Frequent words that tell a language in Latin letters.
+FREQUENT = {
+    "en": "the is are of and to in it for with then that this was were by from on at be not no if as an or must he she who when which its has have before after every keep",
+    "de": "der die das und ist wird wurde werden mit für nicht zur zum den dem des ein eine einen auf bei wie oder um im am sich vor nach kann muss darf sein sowie wer als aus von es sie auch alle kam hat",
+    "es": "el la los las de que para cada en es un una con por se del al y como más no su lo está fue antes después cuando ha",
+    "fr": "le les des et est pour chaque une du au avec sur dans qui que pas ne il elle sont avant après",
+    "pt": "o os para cada uma um do da dos das com em por que não é ao foi antes depois",
+    "it": "il lo gli per ogni una di che con del della è un sono non prima dopo dal",
+}
+
+
+def _by_word(table: dict[str, str]) -> dict[str, frozenset[str]]:
+    """The languages of each abbreviation, also as written at the beginning of a sentence."""
+    out: dict[str, set] = {}
+    for lang, words in table.items():
+        for w in words.split():
+            for x in (w, w[:1].upper() + w[1:]):
+                out.setdefault(x, set()).add(lang)
+    return {w: frozenset(langs) for w, langs in out.items()}
+
+
+NEVER, NUMBERED, MAYBE, FREQUENT_IN, FIRMS = _by_word(NEVER_FINAL), _by_word(BEFORE_NUMBER), _by_word(MAYBE_FINAL), _by_word(FREQUENT), set(FIRM.split())
 PART_ENDS = {p.replace(" ", "") for p in IN_PARTS}
 ORDINAL = regex.compile(rf"(?i)(?:^|\W)(?:{'|'.join(BEFORE_ORDINAL.split())})\s+\d{{1,2}}\Z")
 
@@ -81,12 +103,35 @@ SPACE = regex.compile(r"[\s\x1c-\x1f]*")
 HAN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々〇]")
 WRAPPED = regex.compile(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}])[^\S\r\n]*\r?\n\s*(?=[\p{Han}\p{Hiragana}\p{Katakana}])")
 UNCASED = regex.compile(r"\p{Lo}")
+LETTERS = regex.compile(r"\p{L}+")
+HANGUL, HANGUL_OR_THAI, ARABIC, ANY_THAI = regex.compile(r"\p{Hangul}"), regex.compile(r"\p{Hangul}|\p{Thai}"), regex.compile(r"\p{Arabic}"), regex.compile(r"[฀-๏]")
+ON = {k: regex.compile(v) for k, v in GOES_ON.items()}
+SCRIPT_SEAM = regex.compile(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}])(?=[\p{Latin}\p{N}])")
+MEASURE, REFERRED, FIRM_GOES_ON = regex.compile(r"\d+\s\p{L}"), regex.compile(r"[IVX]+\b|\p{Lu}\b(?!\.?\s\p{Ll})"), regex.compile(rf"(?:{'|'.join(FIRM.split())}|KG)\b")
+AFTER_FIGURE, BLANK, NOT_THAI = regex.compile(r"\d\s?\Z"), regex.compile(r"\s*\Z"), regex.compile(r"[^฀-๏]*")
+CLOSING = regex.compile(CLOSE)
 OPENING = regex.compile(r"[\p{Ps}\p{Pi}„\"'¿¡«]")
 ODD_LOWER = regex.compile(r"(?:\p{Ll}+\p{Lu}|\p{Ll}{1,3}-\p{L}|\p{Ll}{1,2}\d)")
 CAPITAL = regex.compile(r"\p{Lu}\p{Ll}|\p{Lu}\s|\p{Lu}{2,}[-_ ]?\d|[\p{Ps}\p{Pi}¿¡«„\"]")
 THAI_GAP = regex.compile(r"(?<=[฀-๏])(?<![ๆ๐-๙])[^\S\r\n]+(?=[\p{L}\p{Ps}\p{Pi}\"])(?!ๆ)")
 
 
+def _languages(t: str, start: int, a: int) -> frozenset[str]:
+    """The languages in Latin letters that the frequent words of the sentence from ``start`` to ``a``, and of what follows it, tell; all where nothing tells one."""
+    counts: dict[str, int] = {}
+    for w in LETTERS.findall(t, max(start, a - 160), a + 50):
+        for lang in FREQUENT_IN.get(w.lower(), ()):
+            counts[lang] = counts.get(lang, 0) + 1
+    most = max(counts.values(), default=0)
+    return frozenset(k for k in FREQUENT if counts.get(k, 0) == most)
+
+
+def _abbreviates(table: dict[str, frozenset[str]], word: str, t: str, start: int, a: int, goes_on: bool) -> bool:
+    """Whether ``word`` before the stop at ``a`` is an abbreviation of the text's language; another language's counts where the text ``goes_on`` in small letters or figures."""
+    langs = table.get(word)
+    return langs is not None and (goes_on or langs.isdisjoint(FREQUENT) or not langs.isdisjoint(_languages(t, start, a)))
+
+
 def _quotations(t: str) -> list[tuple[int, int]]:
     """Outermost (opening, closing) positions of quotations and brackets that are closed in ``t``."""
     stack: list[tuple[int, str]] = []
@@ -122,14 +167,14 @@ def _goes_on(t: str, o: int, e: int, first: bool) -> bool:
         return False
     quoted = t[o] not in "(（[【"
     if "\u3040" <= n <= "\u30ff":
-        return regex.match(GOES_ON["ja"], s) is not None
-    if regex.match(r"\p{Hangul}", n):
-        return not spaced or regex.match(GOES_ON["ko"], s) is not None
+        return ON["ja"].match(s) is not None
+    if HANGUL.match(n):
+        return not spaced or ON["ko"].match(s) is not None
     if HAN.match(n):
-        if regex.match(GOES_ON["zh"], s) or not first and t[:o].rstrip()[-1:] in LEFT_OPEN:
+        if ON["zh"].match(s) or not first and t[:o].rstrip()[-1:] in LEFT_OPEN:
             return True
-        return first and quoted and regex.match(GOES_ON["zh_first"], s) is not None
-    return any(regex.match(GOES_ON[k], s) for k in ("hi", "ar", "th"))
+        return first and quoted and ON["zh_first"].match(s) is not None
+    return any(ON[k].match(s) for k in ("hi", "ar", "th"))
 
 
 def _breaks(t: str, a: int, b: int, e: int, start: int) -> bool:
@@ -150,17 +195,17 @@ def _breaks(t: str, a: int, b: int, e: int, start: int) -> bool:
     if e > b and not (p.isalnum() and gap):  # a stop within closing marks
         return gap or n.isupper() or UNCASED.match(n) is not None
     w = WORD.search(t, max(start, a - 40), a)
-    word = regex.split(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}])(?=[\p{Latin}\p{N}])", w.group())[-1].lstrip(".'’-") if w else ""
+    word = (w.group() if w.group().isascii() else SCRIPT_SEAM.split(w.group())[-1]).lstrip(".'’-") if w else ""
     if HAN.match(p):
         return True
     if not gap:
-        if n.isdigit() and len(word) > 3 and word.isalpha() and word.islower() and regex.match(r"\d+\s\p{L}", s):
+        if n.isdigit() and len(word) > 3 and word.isalpha() and word.islower() and MEASURE.match(s):
             return word not in NEVER and word not in NUMBERED
-        if n.isdigit() or word in NEVER or word in MAYBE or word in NUMBERED or word.split(".")[-1] in FIRMS:
+        if n.isdigit() or any(_abbreviates(x, word, t, start, a, False) for x in (NEVER, MAYBE, NUMBERED)) or word.split(".")[-1] in FIRMS:
             return False
-        if regex.match(r"\p{Hangul}|\p{Thai}", p):
+        if HANGUL_OR_THAI.match(p):
             return UNCASED.match(n) is not None or CAPITAL.match(s) is not None
-        if regex.match(r"[\p{Arabic}]", p):
+        if ARABIC.match(p):
             return len(word) > 1 and UNCASED.match(n) is not None
         if UNCASED.match(p):
             return False
@@ -175,17 +220,17 @@ def _breaks(t: str, a: int, b: int, e: int, start: int) -> bool:
     if ahead and ahead.end() > a + 1:
         return False
     tail = next((m.group()[:-1] for m in PARTS.finditer(t, max(start, a - 16), a + 1) if m.end() == a + 1), "")
-    short = regex.sub(r"\s", "", tail) or word
-    if short in NEVER:
+    short = "".join(tail.split()) or word
+    if _abbreviates(NEVER, short, t, start, a, not (n.isupper() or OPENING.match(n))):
         return False
     begins = n.isupper() or UNCASED.match(n) is not None or OPENING.match(n) is not None or n == "№"
-    if short in NUMBERED and (n.isdigit() or n in "№#" or regex.match(r"[IVX]+\b|\p{Lu}\b(?!\.?\s\p{Ll})", s)):
+    if short in NUMBERED and (n.isdigit() or n in "№#" or REFERRED.match(s)):
         return False
-    if len(word) == 1 and regex.search(r"\d\s?\Z", t[max(start, a - 4) : a - 1]) and word.isascii():  # the unit of a number
+    if len(word) == 1 and AFTER_FIGURE.search(t[max(start, a - 4) : a - 1]) and word.isascii():  # the unit of a number
         return not n.islower() or ODD_LOWER.match(s) is not None
-    if short in MAYBE:
+    if _abbreviates(MAYBE, short, t, start, a, False):
         firm = short in FIRMS
-        return begins and not (firm and (UNCASED.match(n) or regex.match(rf"(?:{'|'.join(FIRMS)}|KG)\b", s))) or ODD_LOWER.match(s) is not None
+        return begins and not (firm and (UNCASED.match(n) or FIRM_GOES_ON.match(s))) or ODD_LOWER.match(s) is not None
     last = word.split(".")[-1]
     if len(last) == 1 and last.isalpha() and not (len(word) > 1 and word[-2:-1] in "·"):
         return not last.isupper() and begins and not UNCASED.match(last)
@@ -215,11 +260,11 @@ def _paragraph(t: str) -> list[tuple[int, int]]:
             closed = b <= c < e
             first = not LIST_MARK.sub("", t[start:o]).strip()
             after = c + 1
-            while after < len(t) and regex.match(CLOSE, t[after]) and not (k + 1 < len(quotes) and quotes[k + 1][0] == after):
+            while after < len(t) and CLOSING.match(t[after]) and not (k + 1 < len(quotes) and quotes[k + 1][0] == after):
                 after += 1
-            ends = MARKS.match(t[c - 1]) is not None or regex.match(r"\s*\Z", t[o + 1 : c]) is not None
+            ends = MARKS.match(t[c - 1]) is not None or BLANK.match(t[o + 1 : c]) is not None
             j = c - 1
-            while j > o and regex.match(CLOSE, t[j]):
+            while j > o and CLOSING.match(t[j]):
                 j -= 1
             ends = MARKS.match(t[j]) is not None
             on = _goes_on(t, o, after, first)
@@ -249,7 +294,7 @@ def _thai(t: str, x: int, y: int) -> list[tuple[int, int]]:
         if "\u0e00" <= n <= "\u0e4f":
             cuts.append(m.start())
         else:  # another script sets off a name, unless it fills the rest of the span as a sentence
-            other = regex.match(r"[^฀-๏]*", t[m.end() : y]).group()
+            other = NOT_THAI.match(t, m.end(), y).group()
             if m.end() + len(other) == y and (len(other.split()) > 3 or HAN.match(n) and len(other) > 3):
                 cuts.append(m.start())
     cuts.append(y)
@@ -265,7 +310,7 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
         t = text[at:end]
         if t and not t.isspace():
             spans = _paragraph(t)
-            if regex.search(r"[฀-๏]", t):
+            if ANY_THAI.search(t):
                 spans = [z for x, y in spans for z in _thai(t, x, y)]
             for x, y in spans:
                 s = t[x:y]
@@ -276,23 +321,27 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
-SPANS = T.ArrayType(T.StructType([T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())]))
-
-
-@F.pandas_udf(SPANS)
-def spans_of(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [] if t is None else [{"start_char": a, "end_char": b} for a, b in sentence_spans(t)])
-
-
-def sentences(documents: DataFrame, *, key: str, text: str, tasks: int | None = None) -> DataFrame:
+def sentences(documents: DataFrame, *, key: str, text: str) -> DataFrame:
     """Sentences of every text in order: ``<key>, sent_no, start_char, end_char``.
 
     Positions count code points from 1. Null and blank texts give no rows, an
-    empty table none; repeated rows count once; other columns are ignored.
-    ``tasks`` spreads the rows over that many tasks, for input in few files.
+    empty table none; repeated rows count once; other columns are ignored. One
+    shuffle spreads the texts and takes out the repeats, one pass over Arrow
+    batches gives the rows.
     """
-    rows = documents.select(F.col(key).alias("row_key"), F.col(text).alias("t")).where("t is not null")
-    rows = rows.repartition(tasks, F.xxhash64("row_key", "t")) if tasks else rows.repartition(F.xxhash64("row_key", "t"))
-    rows = rows.dropDuplicates(["row_key", "t"])
-    cut = rows.select("row_key", spans_of("t").alias("spans"))
-    return cut.select("row_key", F.posexplode("spans").alias("i", "s")).select(F.col("row_key").alias(key), (F.col("i") + 1).alias("sent_no"), "s.start_char", "s.end_char")
+    rows = documents.select(F.col(key).alias("row_key"), F.col(text).alias("t")).where("t is not null").dropDuplicates()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, number, first, last = [], [], [], []
+            for i, t in enumerate(batch.column("t").to_pylist()):
+                for k, (x, y) in enumerate(sentence_spans(t), 1):
+                    of.append(i)
+                    number.append(k)
+                    first.append(x)
+                    last.append(y)
+            ints = [pa.array(x, pa.int32()) for x in (number, first, last)]
+            yield pa.RecordBatch.from_arrays([batch.column("row_key").take(pa.array(of, pa.int64())), *ints], names=[key, "sent_no", "start_char", "end_char"])
+
+    schema = T.StructType([T.StructField(key, documents.schema[key].dataType), *(T.StructField(c, T.IntegerType()) for c in ("sent_no", "start_char", "end_char"))])
+    return rows.mapInArrow(cut, schema)

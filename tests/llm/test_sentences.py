@@ -74,3 +74,17 @@ def test_table(spark):
     assert sorted(x for x in got if x[0] == 1) == [(1, 1, 1, 4), (1, 2, 6, 9)]
     assert sum(x[0] == 4 for x in got) == 5000 and sorted(x[2:] for x in got if x[0] == 5) == [(1, 5), (7, 10)]
     assert op.sentences(d.limit(0), key="doc_id", text="text").count() == 0
+
+
+def test_abbreviations_of_other_languages_end_sentences():
+    assert cut("Keep the limit in mind. Then start the pump.") == ["Keep the limit in mind.", "Then start the pump."]
+    assert cut("Set it to max. The valve opened.") == ["Set it to max.", "The valve opened."]
+    assert cut("Der Druck ist max. Wert der Anlage. Danach prüfen.") == ["Der Druck ist max. Wert der Anlage.", "Danach prüfen."]
+    assert cut("Set it to max. 5 bar now.") == ["Set it to max. 5 bar now."]
+
+
+def test_repeated_rows_count_once_in_lengths(spark, tmp_path):
+    from lathework.llm.q_sentences import p8_lengths
+
+    spark.createDataFrame([(1, "One. Two.", "en")] * 2 + [(2, None, "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [(r.lang, r.n_sentences) for r in p8_lengths(spark, str(tmp_path)).collect()] == [("en", 2)]
