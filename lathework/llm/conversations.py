@@ -1,20 +1,30 @@
 """Conversations from message rows, with keyed streaming state.
 
-Rows arrive in any order. A stream keeps one state per session and event-time
-bucket under a watermark: rows that arrive late join their bucket while it is
-open, and when the watermark passes its end (closure, or the closing mark at the
-end of the input) the bucket comes out as a validated fragment: its messages in
-order, whether they alternate, and the speakers at its ends. The fragments of a
-session, in order of time, make the conversation; only their short summaries
-meet per session, so a session as large as a third of the table is never one
-task's state or group. Rows later than the watermark allows are found by count,
-and the fragments are then rebuilt from the table, so no row is lost.
+Rows arrive in any order, in micro-batches. Two stateful streams follow one
+another:
+
+1. By session and event-time bucket, under a watermark. A row that arrives late
+   joins its bucket while that is open; when the watermark passes the bucket's
+   end it comes out as a fragment: its messages in order, whether they alternate
+   and who speaks at its ends. A session as large as a third of the table is
+   therefore never one task's state. Rows that come after their bucket was
+   closed are found by comparing counts per bucket, and only those buckets are
+   made again, as corrections.
+2. By session: the state is a short summary of each fragment. On closure, or when
+   the event-time timer of a session runs out, it is validated across its
+   fragments, and a usable session gives the place of every fragment.
+
+The messages of a fragment then take their places.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lathework.session import shared_path, written
 
@@ -70,87 +80,144 @@ def fragments(rows: DataFrame, bucket: str) -> DataFrame:
     )
 
 
-def stream_fragments(spark: SparkSession, path: str, *, delay: str, bucket: str, files_per_trigger: int | None = None) -> DataFrame:
-    """:func:`fragments` of the table at ``path``, read as a stream with watermark ``delay``.
+#: Later than any row: the delay within which no summary counts as late, and half of what the closing mark adds.
+ALL_TIME = "36500 days"
 
-    The stream runs until all files are read, then once more with a closing mark
-    later than every row, which closes the buckets still open.
-    """
+
+def _until_closed(run, marks: str, last: DataFrame, like: str) -> None:
+    """Runs a stream over all its files, then over a mark at ``last`` (ts), later than every row, which closes what is open."""
+    run()
+    fields = {f.split()[0]: f.split()[1] for f in like.split(", ")}
+    empty = {"string": F.lit(""), "boolean": F.lit(False), "timestamp": F.col("ts")}
+    last.where("ts is not null").select(*(empty.get(kind, F.lit(0)).cast(kind).alias(name) for name, kind in fields.items())).coalesce(1).write.mode("append").parquet(marks)
+    run()
+
+
+def _stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern matches a single file as well as a folder; a stream takes a plain path only for a folder
+
+
+def stream_fragments(spark: SparkSession, path: str, *, delay: str, bucket: str, files_per_trigger: int | None = None) -> DataFrame:
+    """:func:`fragments` of the table at ``path``, read as a stream with watermark ``delay``, ``files_per_trigger`` files in a micro-batch."""
     table = spark.read.parquet(path)
-    source = f"{path[:-1]}[{path[-1]}]"  # a pattern matches a single file as well as a folder; a stream takes a plain path only for a folder
     out, state, marks = (shared_path(spark, f"conversations-{x}") for x in ("out", "state", "marks"))
     spark.createDataFrame([], ROW).coalesce(1).write.parquet(marks)
 
     def run() -> None:
-        reader = spark.readStream.schema(table.schema)
-        if files_per_trigger:
-            reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-        events = message_rows(reader.parquet(source)).where("ts is not null").unionByName(spark.readStream.schema(ROW).parquet(marks)).withWatermark("ts", delay)
-        query = (
-            fragments(events, bucket).writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
-            .outputMode("append").trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
+        events = message_rows(_stream(spark, path, table.schema, files_per_trigger)).where("ts is not null")
+        events = events.unionByName(spark.readStream.schema(ROW).parquet(marks)).withWatermark("ts", delay)
+        fragments(events, bucket).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
-    run()
-    last = table.agg(F.max(F.col("timestamp").cast("timestamp")).alias("ts")).where("ts is not null")
-    mark = last.select(
-        F.lit("").alias("session_id"), (F.col("ts") + F.expr(f"interval {delay}") + F.expr(f"interval {bucket}") * 2).alias("ts"),
-        F.lit(0).cast("long").alias("id"), F.lit(False).alias("asks"), F.lit(False).alias("replies"), F.lit(0).cast("long").alias("text_hash"),
-    )
-    mark.coalesce(1).write.mode("append").parquet(marks)
-    run()
+    last = table.agg(F.max(F.col("timestamp").cast("timestamp")).alias("ts"))
+    _until_closed(run, marks, last.select((F.col("ts") + F.expr(f"interval {delay}") + F.expr(f"interval {bucket}") * 2).alias("ts")), ROW)
     schema = fragments(spark.createDataFrame([], ROW), bucket).schema
     return spark.read.schema(schema).parquet(out).where("session_id <> ''")
 
 
 def all_fragments(spark: SparkSession, path: str, *, delay: str = "3 hours", bucket: str = "1 hour", files_per_trigger: int | None = None) -> DataFrame:
-    """:func:`stream_fragments`, or the same from the table where rows came too late for the watermark."""
-    rows = message_rows(spark.read.parquet(path)).where("ts is not null")
+    """:func:`stream_fragments` with the buckets to which rows came too late made again from all their rows."""
+    keys = ["session_id", "start"]
+    rows = message_rows(spark.read.parquet(path)).where("ts is not null").withColumn("start", F.window("ts", bucket)["start"])
     found = stream_fragments(spark, path, delay=delay, bucket=bucket, files_per_trigger=files_per_trigger)
-    emitted = found.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n")).first().n
-    return found if emitted == rows.count() else written(fragments(rows, bucket), "conversations-whole")
+    emitted = found.select(*keys, F.col("n_rows").alias("n"))
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    short = written(counted.join(emitted, [*keys, "n"], "left_anti").select(*keys), "conversations-late")
+    corrected = fragments(rows.join(short, keys, "left_semi").drop("start"), bucket)
+    return found.join(short, keys, "left_anti").unionByName(corrected)
+
+
+SUMMARY = "session_id string, start timestamp, at long, n int, first string, last string, alternates boolean"
+PLACED = "session_id string, at long, before long"
+
+
+def close_session(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Gathers the summaries of a session; on closure gives the places of its fragments if the messages alternate from user to assistant across them."""
+    if not state.hasTimedOut:
+        kept = [list(x) for x in state.get] if state.exists else [[], [], [], [], []]
+        for pdf in batches:
+            for column, name in zip(kept, ("at", "n", "first", "last", "alternates")):
+                column.extend(pdf[name].tolist())
+        state.update(tuple(kept))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, max(kept[0]) // 1000 + 1))
+        return
+    parts = sorted(zip(*state.get))
+    state.remove()
+    speaker, before, rows = "assistant", 0, []
+    for at, n, first, last, alternates in parts:
+        if not alternates or first == speaker:
+            return
+        rows.append((key[0], at, before))
+        speaker, before = last, before + n
+    if speaker == "assistant":
+        yield pd.DataFrame(rows, columns=["session_id", "at", "before"])
+
+
+def usable_fragments(spark: SparkSession, found: DataFrame, untimed: DataFrame) -> DataFrame:
+    """The fragments of usable sessions with the number of messages ``before`` each, by keyed state of each session.
+
+    ``untimed`` (session_id) are sessions with a message of unknown time; they are not usable.
+    """
+    summaries = found.select(
+        "session_id", "start", F.unix_micros("start").alias("at"), F.size("messages").alias("n"), F.get("messages", F.lit(0))["speaker"].alias("first"),
+        F.element_at("messages", -1)["speaker"].alias("last"), "alternates",
+    ).unionByName(untimed.select("session_id", F.lit("1970-01-01").cast("timestamp").alias("start"), F.lit(0).cast("long").alias("at"), F.lit(0).alias("n"), F.lit("").alias("first"), F.lit("").alias("last"), F.lit(False).alias("alternates")))
+    path, out, state, marks = (shared_path(spark, f"conversations-{x}") for x in ("summaries", "placed", "sessions", "closing"))
+    summaries.write.parquet(path)
+    spark.createDataFrame([], SUMMARY).coalesce(1).write.parquet(marks)
+    kept = "ats array<long>, ns array<int>, firsts array<string>, lasts array<string>, alternate array<boolean>"
+
+    def run() -> None:
+        events = _stream(spark, path, SUMMARY, None).unionByName(spark.readStream.schema(SUMMARY).parquet(marks)).withWatermark("start", ALL_TIME)
+        closed = events.groupBy("session_id").applyInPandasWithState(close_session, PLACED, kept, "append", GroupStateTimeout.EventTimeTimeout)
+        closed.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    last = spark.read.schema(SUMMARY).parquet(path).agg(F.max("start").alias("ts"))
+    _until_closed(run, marks, last.select((F.col("ts") + F.expr(f"interval {ALL_TIME}") + F.expr("interval 1 day")).alias("ts")), SUMMARY)
+    return spark.read.schema(PLACED).parquet(out).where("session_id <> ''")
 
 
 def conversations(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Messages of all usable sessions of the table at ``path``: ``session_id, msg_pos, id, speaker``.
+    """Messages of all usable sessions of the table at ``path``: ``session_id, msg_pos, id, speaker``; ids keep their type.
 
     The table has id, session_id, question, answer, timestamp; other columns are
     ignored. A usable session has messages, all with a timestamp, that alternate
     between user and assistant, start with user and end with assistant. Rows
     alike in both texts (texts of which nothing is visible count as none) and
     timestamp count once, under the smallest id. Rows without a session id are
-    ignored. An empty table gives no rows.
+    ignored. An empty table gives no rows. ``options``: ``delay`` of the watermark,
+    ``bucket`` of event time, ``files_per_trigger``; none changes the result.
     """
-    found = all_fragments(spark, path, **options)
-    untimed = message_rows(spark.read.parquet(path)).where("ts is null").select("session_id").distinct()
-    by_time = Window.partitionBy("session_id").orderBy("start")
-    ends = found.select(
-        "session_id", "start", "alternates", F.size("messages").alias("n"),
-        F.get("messages", F.lit(0))["speaker"].alias("first"), F.element_at("messages", -1)["speaker"].alias("last"),
-    )
-    placed = (
-        ends.withColumn("joined", F.coalesce(F.lag("last").over(by_time), F.lit("assistant")) != F.col("first"))
-        .withColumn("before", F.coalesce(F.sum("n").over(by_time.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    )
-    usable = (
-        placed.groupBy("session_id")
-        .agg(F.bool_and(F.col("alternates") & F.col("joined")).alias("ok"), F.max_by("last", "start").alias("last"))
-        .where("ok and last = 'assistant'")
-        .select("session_id")
-        .join(untimed, "session_id", "left_anti")
-    )
-    offsets = placed.select("session_id", "start", "before").join(usable, "session_id", "left_semi")
+    table = spark.read.parquet(path)
+    found = written(all_fragments(spark, path, **options), "conversations-fragments")
+    untimed = message_rows(table).where("ts is null").select("session_id").distinct()
+    places = usable_fragments(spark, found, untimed)
     return (
-        found.select("session_id", "start", "messages").join(offsets, ["session_id", "start"])
+        found.select("session_id", F.unix_micros("start").alias("at"), "messages").join(places, ["session_id", "at"])
         .select("session_id", "before", F.posexplode("messages").alias("i", "m"))
-        .select("session_id", (F.col("before") + F.col("i") + 1).cast("int").alias("msg_pos"), F.col("m.id").cast("int").alias("id"), "m.speaker")
+        .select("session_id", (F.col("before") + F.col("i") + 1).cast("int").alias("msg_pos"), F.col("m.id").cast(table.schema["id"].dataType).alias("id"), "m.speaker")
     )
 
 
-def transcripts(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Usable sessions as whole conversations: ``session_id, n_messages, messages`` (array<struct<msg_pos, speaker, content>> in order)."""
+def replayed(spark: SparkSession, path: str, steps: int) -> str:
+    """The table at ``path`` written again in the order of arrival (id), in ``steps`` files, as a source of as many micro-batches; gives the new path."""
+    out = shared_path(spark, "conversations-replay")
+    rows = spark.read.parquet(path)
+    rows.repartitionByRange(steps, "id").write.parquet(out)
+    return out
+
+
+def transcripts(spark: SparkSession, path: str, *, per_part: int = 1000, **options) -> DataFrame:
+    """Usable sessions as conversations: ``session_id, part, n_messages, messages`` (array<struct<msg_pos, speaker, content>> in order).
+
+    A conversation of more than ``per_part`` messages comes in several parts, counted from 0, so no row grows with the table.
+    """
     placed = conversations(spark, path, **options)
-    text = spark.read.parquet(path).select(F.col("id").cast("int").alias("id"), "question", "answer").dropDuplicates(["id"])
-    said = placed.join(text, "id").select("session_id", F.struct("msg_pos", "speaker", F.when(F.col("speaker") == "user", F.col("question")).otherwise(F.col("answer")).alias("content")).alias("m"))
-    return said.groupBy("session_id").agg(F.count("*").alias("n_messages"), F.array_sort(F.collect_list("m")).alias("messages"))
+    text = spark.read.parquet(path).select("id", "question", "answer").dropDuplicates(["id"])
+    said = placed.join(text, "id").select(
+        "session_id", F.floor((F.col("msg_pos") - 1) / per_part).cast("int").alias("part"),
+        F.struct("msg_pos", "speaker", F.when(F.col("speaker") == "user", F.col("question")).otherwise(F.col("answer")).alias("content")).alias("m"),
+    )
+    return said.groupBy("session_id", "part").agg(F.count("*").alias("n_messages"), F.array_sort(F.collect_list("m")).alias("messages"))

@@ -11,12 +11,17 @@ def p5_found(spark, sf_dir):
     return op.conversations(spark, f"{sf_dir}/conversations.parquet")
 
 
+def p5_arrivals(spark, sf_dir):
+    """The messages as they come out when the rows arrive in the order of their ids, in eight micro-batches."""
+    return op.conversations(spark, op.replayed(spark, f"{sf_dir}/conversations.parquet", 8), files_per_trigger=1)
+
+
 def p5_transcripts(spark, sf_dir):
     out = op.transcripts(spark, f"{sf_dir}/conversations.parquet")
-    return out.select("session_id", "n_messages", F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["speaker"], F.lit(":"), m["content"])), "\n")).alias("digest"))
+    return out.select("session_id", "part", "n_messages", F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["speaker"], F.lit(":"), m["content"])), "\n")).alias("digest"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_transcripts": p5_transcripts}
+QUERIES = {"p5_found": p5_found, "p5_arrivals": p5_arrivals, "p5_transcripts": p5_transcripts}
 
 _PLACED = r"""
 WITH base AS (
@@ -41,5 +46,6 @@ usable AS (
 SQL = {
     "p5_found": _PLACED + "SELECT session_id, CAST(msg_pos AS INT) AS msg_pos, id, speaker FROM placed WHERE session_id IN (FROM usable)",
     "p5_transcripts": _PLACED
-    + "SELECT session_id, count(*) AS n_messages, md5(string_agg(speaker || ':' || content, chr(10) ORDER BY msg_pos)) AS digest FROM placed WHERE session_id IN (FROM usable) GROUP BY session_id",
+    + "SELECT session_id, CAST((msg_pos - 1) // 1000 AS INT) AS part, count(*) AS n_messages, md5(string_agg(speaker || ':' || content, chr(10) ORDER BY msg_pos)) AS digest FROM placed WHERE session_id IN (FROM usable) GROUP BY 1, 2",
 }
+SQL["p5_arrivals"] = SQL["p5_found"]

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import time
 
 from lathework.llm import conversations as op
 
@@ -72,10 +73,42 @@ def test_rows_later_than_the_watermark_are_not_lost(spark, tmp_path):
 def test_transcripts(spark, tmp_path):
     rows = [(2, "S", None, "a1", T0), (1, "s ", "q1", None, T0), (3, "s", "q2", "a2", T0 + dt.timedelta(days=3)), (4, "x", "q", None, T0)]
     got = op.transcripts(spark, write(spark, tmp_path, rows)).collect()
-    assert [(r.session_id, r.n_messages, [(m.msg_pos, m.speaker, m.content) for m in r.messages]) for r in got] == [
-        ("s", 4, [(1, "user", "q1"), (2, "assistant", "a1"), (3, "user", "q2"), (4, "assistant", "a2")])
+    assert [(r.session_id, r.part, r.n_messages, [(m.msg_pos, m.speaker, m.content) for m in r.messages]) for r in got] == [
+        ("s", 0, 4, [(1, "user", "q1"), (2, "assistant", "a1"), (3, "user", "q2"), (4, "assistant", "a2")])
     ]
 
 
 def test_empty_table(spark, tmp_path):
     assert found(spark, write(spark, tmp_path, [])) == set()
+
+
+def test_long_conversations_come_in_parts(spark, tmp_path):
+    rows = [(i, "s", f"q{i}", f"a{i}", T0 + dt.timedelta(minutes=i)) for i in range(5)]
+    got = op.transcripts(spark, write(spark, tmp_path, rows), per_part=4).orderBy("part").collect()
+    assert [(r.part, [m.msg_pos for m in r.messages]) for r in got] == [(0, [1, 2, 3, 4]), (1, [5, 6, 7, 8]), (2, [9, 10])]
+
+
+def test_late_rows_join_their_open_bucket(spark, tmp_path):
+    """Rows that arrive in a later micro-batch, but within the watermark, are in the streamed fragment; later ones need the correction."""
+    at = lambda minutes: T0 + dt.timedelta(minutes=minutes)
+    path = str(tmp_path / "late")
+    batches = [[(1, "s", "q", None, at(1)), (2, "t", "q", None, at(2))], [(3, "x", "q", "a", at(60))], [(4, "s", None, "a", at(3))], [(5, "x", "q", "a", at(900))], [(6, "x", "q", "a", at(901))], [(7, "t", None, "a", at(4))]]
+    for rows in batches:  # one file after the other, so that they are read in this order
+        spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    options = {"delay": "3 hours", "bucket": "1 hour", "files_per_trigger": 1}
+    streamed = {(r.session_id, r.start): r.n_rows for r in op.stream_fragments(spark, path, **options).collect()}
+    assert streamed["s", T0] == 2 and streamed["t", T0] == 1
+    assert found(spark, path, **options) == brute([r for b in batches for r in b])
+
+
+def test_replay_gives_the_same(spark, tmp_path):
+    rows = some_rows(5, 200)
+    path = write(spark, tmp_path, rows)
+    assert found(spark, op.replayed(spark, path, 4), files_per_trigger=1) == brute(rows)
+
+
+def test_large_ids(spark, tmp_path):
+    path = str(tmp_path / "large")
+    spark.createDataFrame([(2**40, "s", "q", "a", T0)], SCHEMA.replace("id int", "id long").replace(", ts string, r int", "")).write.parquet(path)
+    assert found(spark, path) == {("s", 1, 2**40, "user"), ("s", 2, 2**40, "assistant")}
