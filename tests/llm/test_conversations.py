@@ -108,6 +108,12 @@ def test_replay_gives_the_same(spark, tmp_path):
     assert found(spark, op.replayed(spark, path, 4), files_per_trigger=1) == brute(rows)
 
 
+def test_times_before_1970_and_unknown_times(spark, tmp_path):
+    old = dt.datetime(1960, 5, 1)
+    rows = [(1, "s", "q", "a", old), (2, "s", "q2", "a2", T0), (3, "u", "q", "a", T0), (4, "u", "q2", "a", None), (5, "v", "q", "a", None)]
+    assert found(spark, write(spark, tmp_path, rows)) == brute(rows) != set()
+
+
 def test_large_ids(spark, tmp_path):
     path = str(tmp_path / "large")
     spark.createDataFrame([(2**40, "s", "q", "a", T0)], SCHEMA.replace("id int", "id long").replace(", ts string, r int", "")).write.parquet(path)
