@@ -69,6 +69,8 @@ def slots_of(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["spec_id", "size", "first_rank", "end_rank", "first_container", "each", "offset", "place"])
 
 
+#: Sum of the capacities up to which the sizes' counts are broadcast, as they have at most so many rows.
+MOST_SIZES = 1_000_000
 SLOTS = "spec_id int, size long, first_rank long, end_rank long, first_container long, each long, offset long, place long"
 
 
@@ -98,16 +100,22 @@ def fill_containers(items: DataFrame, specs: DataFrame, *, per_bucket: int = 50_
     cut = written(pieces(once, specs), "containers-pieces")
     histogram = cut.groupBy("spec_id", "capacity", "size").agg(F.count("*").alias("n"))
     plan = histogram.groupBy("spec_id", "capacity").applyInPandas(slots_of, SLOTS)  # a group has at most ``capacity`` rows
-    ranges = plan.groupBy("spec_id", "size").agg(F.array_sort(F.collect_list(F.struct("first_rank", "end_rank", "first_container", "each", "offset", "place"))).alias("ranges"))
-    buckets = histogram.select("spec_id", "size", F.ceil(F.col("n") / per_bucket).cast("int").alias("buckets"))
-    per_size = ranges.join(buckets, ["spec_id", "size"])
-
     keys = ["spec_id", "size", "bucket"]
+    buckets = histogram.select("spec_id", "size", F.ceil(F.col("n") / per_bucket).cast("int").alias("buckets"))
+    space = specs.where("capacity > 0").agg(F.sum("capacity").alias("s")).first().s or 0
+    if space <= MOST_SIZES:  # there are at most as many sizes as the capacities' sum, so the common ones need no shuffle
+        buckets = F.broadcast(buckets)
     placed = cut.join(buckets, ["spec_id", "size"]).withColumn("bucket", F.pmod(F.xxhash64("item_id", "piece"), F.col("buckets")).cast("int"))
     sizes = placed.groupBy(*keys).agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("spec_id", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = placed.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("item_id", "piece")) - 1).join(before.drop("n"), keys).withColumn("rank", F.col("r") + F.col("before"))
-    slotted = ranked.join(per_size.select("spec_id", "size", "ranges"), ["spec_id", "size"])
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("spec_id", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stretches = sizes.withColumn("before", before)
+    # of the plan, each bucket of items gets the ranges of ranks that lie in its stretch
+    meets = (F.col("first_rank") < F.col("before") + F.col("n")) & (F.col("before") < F.col("end_rank"))
+    ranges = stretches.join(plan, ["spec_id", "size"]).where(meets).groupBy(*keys).agg(
+        F.first("before").alias("before"), F.array_sort(F.collect_list(F.struct("first_rank", "end_rank", "first_container", "each", "offset", "place"))).alias("ranges")
+    )
+    ranked = placed.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("item_id", "piece")) - 1)
+    slotted = ranked.join(ranges, keys).withColumn("rank", F.col("r") + F.col("before"))
     slot = F.filter("ranges", lambda x: (x["first_rank"] <= F.col("rank")) & (F.col("rank") < x["end_rank"]))[0]
     found = slotted.withColumn("slot", slot).withColumn("i", F.col("rank") - F.col("slot.first_rank"))
     nth = F.expr("i % slot.each")
@@ -118,6 +126,30 @@ def fill_containers(items: DataFrame, specs: DataFrame, *, per_bucket: int = 50_
 
 
 def fill_report(filled: DataFrame, specs: DataFrame) -> DataFrame:
-    """``spec_id, capacity, n_items, n_tokens, n_containers, fill``: the share of the containers' space that is used."""
-    used = filled.groupBy("spec_id").agg(F.count("*").alias("n_items"), F.sum("size").alias("n_tokens"), F.max("container_no").alias("n_containers"))
-    return used.join(specs.select("spec_id", "capacity"), "spec_id").withColumn("fill", F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")))
+    """``spec_id, capacity, n_items, n_tokens, n_containers, least_containers, fill``.
+
+    ``fill`` is the share of the containers' space that is used; no packing needs less than ``least_containers``,
+    the tokens by the capacity or the items larger than half of it.
+    """
+    half = F.count_if(F.col("size") * 2 > F.col("capacity"))
+    used = filled.join(F.broadcast(specs.select("spec_id", "capacity")), "spec_id").groupBy("spec_id", "capacity").agg(  # fixed small table
+        F.count("*").alias("n_items"), F.sum("size").alias("n_tokens"), F.max("container_no").alias("n_containers"), half.alias("large")
+    )
+    least = F.greatest(F.ceil(F.col("n_tokens") / F.col("capacity")), F.col("large")).alias("least_containers")
+    return used.select("spec_id", "capacity", "n_items", "n_tokens", "n_containers", least, (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity"))).alias("fill"))
+
+
+def rules_report(filled: DataFrame, specs: DataFrame) -> DataFrame:
+    """What must hold of a filling: ``spec_id, n_items, n_overfull, n_split, n_gaps``.
+
+    Items placed, containers over capacity, items in several pieces though they fit, and items whose pieces do not
+    make up one stretch from 0.
+    """
+    specs = F.broadcast(specs.select("spec_id", "capacity"))  # fixed small table
+    items = filled.groupBy("spec_id", "item_id").agg(F.count("*").alias("pieces"), F.sum("size").alias("tokens"), F.max(F.col("token_start") + F.col("size")).alias("stop"), F.min("token_start").alias("start"))
+    by_item = items.join(specs, "spec_id").groupBy("spec_id").agg(
+        F.count("*").alias("n_items"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("n_split"), F.count_if((F.col("start") != 0) | (F.col("stop") != F.col("tokens"))).alias("n_gaps")
+    )
+    boxes = filled.groupBy("spec_id", "container_no").agg(F.sum("size").alias("used"), F.max(F.col("offset") + F.col("size")).alias("top")).join(specs, "spec_id")
+    by_box = boxes.groupBy("spec_id").agg(F.count_if((F.col("used") > F.col("capacity")) | (F.col("top") != F.col("used"))).alias("n_overfull"))
+    return by_item.join(by_box, "spec_id").select("spec_id", "n_items", "n_overfull", "n_split", "n_gaps")

@@ -27,7 +27,7 @@ def rake(tokens: np.ndarray, labels: list[np.ndarray], targets: list[dict], caps
     """Weights by iterative proportional fitting.
 
     ``tokens`` per cell; ``labels`` one array per marginal, ``targets`` its tokens by label. The first
-    marginal comes last in every round, and is met exactly wherever the caps allow it.
+    marginal comes last in every round, and is met within ``tolerance`` wherever the caps allow it.
     """
     w = np.minimum(np.ones(len(tokens)), caps)
     order = [*range(1, len(labels)), 0]
@@ -41,9 +41,10 @@ def rake(tokens: np.ndarray, labels: list[np.ndarray], targets: list[dict], caps
                     if have <= 0 or abs(have - target) <= tolerance * max(target, 1):
                         break
                     scaled = np.minimum(w[cells] * target / have, caps[cells])
-                    if np.allclose(scaled, w[cells]):
-                        break
+                    moved = float(np.abs(scaled - w[cells]).max())
                     w[cells] = scaled
+                    if moved <= tolerance:
+                        break
         if np.abs(w - before).max() < tolerance:
             break
     return w
@@ -128,3 +129,39 @@ def mix_report(selection: DataFrame, targets: DataFrame) -> DataFrame:
         "mix_id", "source", (F.col("given") / F.col("all_given")).alias("target_share"), F.coalesce(F.col("n_tokens") / F.nullif(whole, F.lit(0)), F.lit(0.0)).alias("actual_share"),
         "n_tokens", "n_documents", "most_repeats",
     )
+
+
+def reach_report(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """What limits each mix: ``mix_id, source, target_share, most_tokens, total_if_limit, limits``.
+
+    ``most_tokens`` is what the source gives with every document used max_repeats times, ``total_if_limit`` the size of
+    the whole mix at which that is its share; the source with the least of them ``limits`` the mix, and each of the
+    others is left with tokens unused.
+    """
+    t = targets.where("target_share > 0 and max_repeats >= 1").select("mix_id", source_name(F.col("source")).alias("source"), F.col("target_share").alias("given"), "max_repeats")
+    once = documents.where("n_tokens > 0 and doc_id is not null").withColumn("source", source_name(F.col("source"))).groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("d"))
+    have = once.groupBy("d.source").agg(F.sum("d.n_tokens").alias("n"))
+    live = t.join(have, "source")
+    by_mix = Window.partitionBy("mix_id")
+    return live.select(
+        "mix_id", "source", (F.col("given") / F.sum("given").over(by_mix)).alias("target_share"), (F.col("n") * F.col("max_repeats")).cast("long").alias("most_tokens")
+    ).withColumn("total_if_limit", F.floor(F.col("most_tokens") / F.col("target_share"))).withColumn("limits", F.col("total_if_limit") == F.min("total_if_limit").over(by_mix))
+
+
+def marginal_report(selection: DataFrame, documents: DataFrame) -> DataFrame:
+    """Language and topic shares: ``mix_id, marginal, label, pool_share, actual_share, residual``; the pool are all documents of the mix's sources.
+
+    The fit meets the sources last, so what caps and sources leave open shows here as ``residual``.
+    """
+    docs = documents.where("n_tokens > 0 and doc_id is not null").withColumns({"source": source_name(F.col("source")), "lang": F.coalesce("lang", F.lit("und")), "topic": F.coalesce("topic", F.lit("unknown"))})
+    docs = docs.groupBy("doc_id").agg(F.min(F.struct("source", "lang", "topic", "n_tokens")).alias("d")).select("doc_id", "d.*")
+    cells = docs.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("pool"))
+    chosen = selection.select("mix_id", "doc_id", (F.col("n_tokens") * F.col("repeats")).alias("used")).join(docs.select("doc_id", "source", "lang", "topic"), "doc_id")
+    used = chosen.groupBy("mix_id", "source", "lang", "topic").agg(F.sum("used").alias("used"))
+    all_cells = used.select("mix_id", "source").distinct().join(cells, "source").join(used, ["mix_id", "source", "lang", "topic"], "left").fillna(0, ["used"])
+    stacked = all_cells.select("mix_id", "pool", "used", F.explode(F.array(*(F.struct(F.lit(m).alias("marginal"), F.col(m).alias("label")) for m in ("lang", "topic")))).alias("m"))
+    sums = stacked.groupBy("mix_id", "m.marginal", "m.label").agg(F.sum("pool").alias("pool"), F.sum("used").alias("used"))
+    by = Window.partitionBy("mix_id", "marginal")
+    return sums.select("mix_id", "marginal", "label", (F.col("pool") / F.sum("pool").over(by)).alias("pool_share"), (F.col("used") / F.sum("used").over(by)).alias("actual_share")).withColumn(
+        "residual", F.col("actual_share") - F.col("pool_share")
+    )

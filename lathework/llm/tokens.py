@@ -36,4 +36,4 @@ def n_tokens(path: str = VOCABULARY) -> Callable[[Column], Column]:
         for texts in batches:
             yield texts.map(lambda t: None if t is None else len(enc.encode_ordinary(t))).astype("Int64")
 
-    return count
+    return count.asNondeterministic()  # so that a filter on the sizes does not count them a second time below the shuffle
