@@ -87,7 +87,7 @@ def _by_word(table: dict[str, str]) -> dict[str, frozenset[str]]:
 
 
 NEVER, NUMBERED, MAYBE, FREQUENT_IN, FIRMS = _by_word(NEVER_FINAL), _by_word(BEFORE_NUMBER), _by_word(MAYBE_FINAL), _by_word(FREQUENT), set(FIRM.split())
-PART_ENDS = {p.replace(" ", "") for p in IN_PARTS}
+PART_WORDS = {w for p in IN_PARTS for w in p.split(". ")}
 ORDINAL = regex.compile(rf"(?i)(?:^|\W)(?:{'|'.join(BEFORE_ORDINAL.split())})\s+\d{{1,2}}\Z")
 
 CLOSE = r"""[\p{SB=CL}"'”’»“]"""
@@ -99,6 +99,7 @@ WORD = regex.compile(r"[\p{L}\p{M}\p{N}·№'’.\-]+\Z")
 LIST_MARK = regex.compile(r"\s*(?:[-–•*·]\s*)?(?:[(（]?(?:\d{1,3}|\p{L}|[ivxIVX]{1,5})[.)）．])?\s*\Z")
 PARTS = regex.compile("|".join(rf"(?<!\w){r'\.\s?'.join(map(regex.escape, p.split('. ')))}\." for p in sorted(IN_PARTS, key=len, reverse=True)))
 STRONG = regex.compile(r"\p{SB=ST}")
+SIMPLE = frozenset("。！？!?।")
 SPACE = regex.compile(r"[\s\x1c-\x1f]*")
 HAN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々〇]")
 WRAPPED = regex.compile(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}])[^\S\r\n]*\r?\n\s*(?=[\p{Han}\p{Hiragana}\p{Katakana}])")
@@ -179,14 +180,14 @@ def _goes_on(t: str, o: int, e: int, first: bool) -> bool:
 
 def _breaks(t: str, a: int, b: int, e: int, start: int) -> bool:
     """Whether the marks ``t[a:b]``, with closing marks up to ``e``, end the sentence that began at ``start``."""
-    marks, rest = t[a:b], t[e : SPACE.match(t, e).end() + 40]
+    marks, rest = t[a:b], t[e : (SPACE.match(t, e).end() if t[e : e + 1].isspace() else e) + 40]
     s = rest.lstrip()
     if not s:
         return True
     n, gap, p = s[0], len(s) < len(rest), t[a - 1 : a]
     if n in ",;，、；" or n in ":：" and not gap:
         return False
-    if STRONG.search(marks):
+    if marks in SIMPLE or STRONG.search(marks):
         return marks[-1] not in "!?" or gap or not (n.islower() or n.isdigit()) or ODD_LOWER.match(s) is not None
     if "…" in marks or "‥" in marks or len(marks) > 1:
         return gap and n.isupper()
@@ -214,12 +215,14 @@ def _breaks(t: str, a: int, b: int, e: int, start: int) -> bool:
             return bool(lead) and lead[-1].isalpha() and not HAN.match(lead[-1]) and (CAPITAL.match(s) is not None or HAN.match(n) is not None)
         ends_word = p.islower() and (len(word) > 1) or p in ")）]%°℃”"
         return ends_word and (CAPITAL.match(s) is not None or ODD_LOWER.match(s) is not None or UNCASED.match(n) is not None)
-    if LIST_MARK.match(t[start : a + 1]) and t[start : a + 1].strip():
+    if (a - start < 12 or t[start].isspace() or t[start] in "-–•*·") and LIST_MARK.match(t[start : a + 1]) and t[start : a + 1].strip():
         return False
-    ahead = PARTS.match(t, a - len(word.split(".")[-1])) if word else None
-    if ahead and ahead.end() > a + 1:
-        return False
-    tail = next((m.group()[:-1] for m in PARTS.finditer(t, max(start, a - 16), a + 1) if m.end() == a + 1), "")
+    tail = ""
+    if word.split(".")[-1] in PART_WORDS:
+        ahead = PARTS.match(t, a - len(word.split(".")[-1]))
+        if ahead and ahead.end() > a + 1:
+            return False
+        tail = next((m.group()[:-1] for m in PARTS.finditer(t, max(start, a - 16), a + 1) if m.end() == a + 1), "")
     short = "".join(tail.split()) or word
     if _abbreviates(NEVER, short, t, start, a, not (n.isupper() or OPENING.match(n))):
         return False
@@ -246,7 +249,10 @@ def _paragraph(t: str) -> list[tuple[int, int]]:
     cuts, start = [0], 0
     quotes, k = _quotations(t), 0
     for m in MARKS.finditer(t):
-        a, b, e = m.start(), m.start("close"), m.start("gap")
+        a, end = m.span()
+        if end == a + 1 and t[a] == "." and t[a - 1 : a].isdigit() and t[end : end + 1].isdigit():  # within a number
+            continue
+        b, e = m.start(1), m.start(2)
         while k < len(quotes) and quotes[k][1] < a:
             k += 1
         within = k < len(quotes) and quotes[k][0] < a
