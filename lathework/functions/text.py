@@ -15,6 +15,10 @@ SPACE = r"(?U)[\s\x1c-\x1f]+"
 TOKEN = r"([A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)*|[㐀-鿿]+)"
 
 
+#: Characters below this are in normal form C in any text.
+ALWAYS_NFC = r"^[\x00-\u02ff]*$"
+
+
 @F.pandas_udf(T.StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
@@ -55,11 +59,15 @@ def content_sha(c: Column) -> Column:
 
 
 def json_text(c: Column) -> Column:
-    """``c`` as a JSON string."""
+    """``c`` as a JSON string, every control character escaped."""
     escaped = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"')
     for raw, name in (("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f")):
         escaped = F.replace(escaped, F.lit(raw), F.lit("\\" + name))
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
+    others = escaped
+    for code in range(32):
+        if chr(code) not in "\n\r\t\b\f":
+            others = F.replace(others, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+    return F.concat(F.lit('"'), F.when(escaped.rlike(r"[\x00-\x1f]"), others).otherwise(escaped), F.lit('"'))
 
 
 def identity(kind: str, *parts: Column, occurrence: Column) -> Column:

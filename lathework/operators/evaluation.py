@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,14 +60,33 @@ def threshold_sweep(observations: DataFrame, thresholds: list[float]) -> DataFra
 
 
 def latency(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """Mean and nearest-rank 95th percentile of ``value``; nulls do not count."""
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.percentile_disc(0.95, value).alias("p95") if hasattr(F, "percentile_disc") else F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95"))
+    """Mean and nearest-rank 95th percentile of ``value``: ``n, mean, p95``; nulls do not count, a group of nulls has n 0.
+
+    The rank is found by running counts over a group's distinct values in order, which can spill, not in one buffer.
+    """
+    counts = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count(value).alias("_n"), F.sum(value).alias("_s"))
+    same = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    seen = F.sum("_n").over(same.orderBy(F.col("_v").asc_nulls_last()))
+    reached = counts.withColumns({"_seen": seen, "_all": F.sum("_n").over(same)}).withColumn("_p", F.when((F.col("_n") > 0) & (F.col("_seen") >= F.ceil(F.col("_all") * 0.95)), F.col("_v")))
+    return reached.groupBy(*by).agg(F.sum("_n").alias("n"), F.round(F.sum("_s") / F.nullif(F.sum("_n"), F.lit(0)), 6).alias("mean"), F.min("_p").alias("p95"))
 
 
 def confusion(labels: DataFrame, true: str, predicted: str) -> DataFrame:
-    """``true, predicted, n`` and each true label's share that was right."""
+    """``true_label, predicted_label, n, share``: how often, and in what share of the true label's rows, each prediction came."""
     counts = labels.groupBy(F.col(true).alias("true_label"), F.col(predicted).alias("predicted_label")).agg(F.count("*").alias("n"))
-    return counts
+    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("true_label")), 6))
+
+
+def classification_report(labels: DataFrame, true: str, predicted: str) -> DataFrame:
+    """``label, precision, recall, f1, support`` of every label that occurs on either side, from the counts of the pairs only."""
+    c = confusion(labels.where(F.col(true).isNotNull() & F.col(predicted).isNotNull()), true, predicted)
+    sides = c.select(F.col("true_label").alias("label"), F.col("n").alias("support"), F.lit(0).alias("claimed"), F.when(F.col("true_label") == F.col("predicted_label"), F.col("n")).otherwise(0).alias("hits")).unionByName(
+        c.select(F.col("predicted_label").alias("label"), F.lit(0).alias("support"), F.col("n").alias("claimed"), F.lit(0).alias("hits"))
+    )
+    s = sides.groupBy("label").agg(*(F.sum(x).alias(x) for x in ("support", "claimed", "hits")))
+    precision, recall = F.col("hits") / F.nullif("claimed", F.lit(0)), F.col("hits") / F.nullif("support", F.lit(0))
+    f1 = 2 * F.col("hits") / F.nullif(F.col("claimed") + F.col("support"), F.lit(0))
+    return s.select("label", *(F.round(F.coalesce(x, F.lit(0.0)), 6).alias(n) for n, x in (("precision", precision), ("recall", recall), ("f1", f1))), "support")
 
 
 def paired_delta(a: DataFrame, b: DataFrame, key: str, values: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ MOST_BYTES = {
     "equipment_model": 256, "manufacturer": 256, "alarm_code": 128, "fault_type": 256, "fault_symptom": 8192, "maintenance_type": 256, "maintenance_cycle_unit": 16,
     "maintenance_cycle_trigger": 256, "part_number": 256, "effective_date": 10, "language": 32, "source_file": 4096, "metadata_source": 32, "source": 256, "timestamp": 64,
 }
+# Allowed types and units, columns that hold hashes, and columns that must not be empty.
 KNOWLEDGE_TYPES = ["manual", "alarm", "fault", "maintenance", "parameter", "parts", "case"]
 CYCLE_UNITS = ["hour", "day", "week", "month", "year", "cycle"]
 HASHES = ["id", "child_id", "parent_id", "document_sha256", "parent_content_sha256", "child_content_sha256"]
@@ -41,9 +42,19 @@ def cleaned(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
+def rule_names(columns: list[str]) -> list[str]:
+    """Names of all rules for rows with these columns."""
+    return [name for name, _ in _rules(set(columns))]
+
+
 def row_errors(chunks: DataFrame) -> DataFrame:
     """Adds ``errors``: the names of all rules a stored row breaks, sorted; an empty array for a valid row."""
-    have = set(chunks.columns)
+    named = F.array(*(F.when(F.coalesce(bad, F.lit(False)), name) for name, bad in _rules(set(chunks.columns))))
+    return chunks.withColumn("errors", F.array_sort(F.array_compact(named)))
+
+
+def _rules(have: set[str]) -> list[tuple[str, Column]]:
+    """(name, condition that breaks it) of all rules for rows that ``have`` these columns."""
     checks = [(f"required:{c}", F.coalesce(cleaned(F.col(c)), F.lit("")) == "") for c in REQUIRED if c in have]
     checks += [(f"hash:{c}", ~F.col(c).rlike(r"^[0-9a-f]{64}\z")) for c in HASHES if c in have]
     checks += [(f"bytes:{c}", F.octet_length(c) > n) for c, n in MOST_BYTES.items() if c in have]
@@ -61,8 +72,7 @@ def row_errors(chunks: DataFrame) -> DataFrame:
         ("sparse_vector", F.coalesce(F.cardinality("sparse_vector"), F.lit(0)) <= 0),
         ("sparse_keys", F.exists(F.map_keys("sparse_vector"), lambda d: (d < 0) | (d > 4294967295))),
     ]
-    named = F.array(*(F.when(F.coalesce(bad, F.lit(False)), name) for name, bad in checks))
-    return chunks.withColumn("errors", F.array_sort(F.array_compact(named)))
+    return checks
 
 
 def id_delta(desired: DataFrame, actual: DataFrame, document: str, child: str) -> DataFrame:
@@ -94,11 +104,14 @@ def decide(sources: DataFrame, manifest: DataFrame, stored: DataFrame) -> DataFr
     return x.select("document_id", decision.alias("decision"))
 
 
-def fingerprint(rows: DataFrame, columns: list[str], *, by: str | None = None, buckets: int = 256) -> DataFrame:
-    """One hash over all rows, whatever their order: hashes of rows are gathered per bucket of their first digits, and the buckets' hashes give the result, so no task holds all rows."""
-    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+def fingerprint(rows: DataFrame, columns: list[str], *, by: str | None = None) -> DataFrame:
+    """One hash over all rows, whatever their order: hashes of rows are gathered per bucket of their first two digits, and the buckets' hashes give the result, so no task holds all rows.
+
+    A value counts with its length in bytes in front, a null as ~, so no two rows read alike.
+    """
+    told = lambda c: F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("~"))
     keys = [by] if by else []
-    h = rows.select(*keys, row.alias("h")).withColumn("b", F.pmod(F.crc32(F.encode("h", "UTF-8")), F.lit(buckets)))
+    h = rows.select(*keys, F.sha2(F.concat_ws("|", *map(told, columns)), 256).alias("h")).withColumn("b", F.substring("h", 1, 2))
     parts = h.groupBy(*keys, "b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("p"), F.count("*").alias("n"))
     return parts.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "p"))), lambda x: x["p"]), ""), 256).alias("fingerprint"), F.sum("n").alias("n_rows"))
 

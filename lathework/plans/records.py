@@ -36,9 +36,28 @@ def fingerprint(spark, sf_dir):
     return ingestion.fingerprint(d, ["doc_id", "document_id", "lang", "n_chars", "text"], by="lang")
 
 
+#: How each tenth of the rows is broken on purpose, by the first digits of the id.
+BREAKS = {
+    "title": "cast(null as string)", "text": "''", "id": "upper(id)", "knowledge_type": "'other'", "alarm_code": "' '", "part_number": "cast(null as string)", "maintenance_cycle_value": "cast(-1 as double)",
+    "maintenance_cycle_unit": "'decade'", "effective_date": "'2024-02-30'", "dense_vector": "array(cast('nan' as float))", "sparse_vector": "map(cast(-5 as bigint), cast(1 as float))", "schema_version": "repeat('é', 33)",
+}
+
+
+def _broken(spark, sf_dir):
+    """All stored rows, and those whose id begins with 1 once more for every way of :data:`BREAKS`."""
+    c = table(spark, sf_dir, "chunks")
+    out = c
+    for column, value in BREAKS.items():
+        out = out.unionByName(c.where("id like '1%'").withColumn(column, F.expr(value)))
+    return out
+
+
 def row_errors(spark, sf_dir):
-    c = ingestion.row_errors(table(spark, sf_dir, "chunks"))
-    return c.select(F.explode("errors").alias("rule")).groupBy("rule").agg(F.count("*").alias("n_rows"))
+    """How many rows break each rule, rules that none breaks included."""
+    rules = spark.createDataFrame([(r,) for r in ingestion.rule_names(table(spark, sf_dir, "chunks").columns)], "rule string")
+    c = ingestion.row_errors(_broken(spark, sf_dir))
+    n = c.select(F.explode("errors").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+    return rules.join(n, "rule", "left").select("rule", F.coalesce("n", F.lit(0)).alias("n_rows"))
 
 
 def duplicate_ids(spark, sf_dir):
@@ -63,10 +82,10 @@ def decisions(spark, sf_dir):
 
 
 def upserted(spark, sf_dir):
-    """The manifest after putting the newest snapshot over the one before it, and deleting what it no longer has."""
+    """The manifest before the newest snapshot, with the newest rows of documents whose hash begins with 0 to 9 put over it and those that begin with f deleted."""
     old, new = _newest(spark, sf_dir, 2), _newest(spark, sf_dir, 1)
-    merged = ingestion.upsert(old, new, "document_id")
-    gone = old.join(new, "document_id", "left_anti").select("document_id")
+    merged = ingestion.upsert(old, new.where("document_sha256 < 'a'"), "document_id")
+    gone = new.where("document_sha256 like 'f%'").select("document_id")
     return ingestion.delete(merged, gone, "document_id").select("document_id", "version", F.size("child_ids").alias("n_children"))
 
 
@@ -86,10 +105,37 @@ def intent_confusion(spark, sf_dir):
     return evaluation.confusion(f, "knowledge_type", "intent")
 
 
+def _questions(spark, sf_dir):
+    """All distinct questions of the three question tables, each with its hash as key."""
+    q = None
+    for name in ("jpkb", "rag_evaluate_data", "fast_path"):
+        part = table(spark, sf_dir, name).select("question")
+        q = part if q is None else q.unionByName(part)
+    return q.where("question is not null").distinct().withColumn("qid", F.md5("question"))
+
+
 def entities(spark, sf_dir):
-    q = table(spark, sf_dir, "jpkb").select("id", "question").distinct().withColumn("e", analysis.entities(F.col("question")))
-    plan = analysis.filter_plan(analysis.with_intent(q.select("id", "question", "e.*"), "question"))
-    return plan.select("id", "intent", "confidence", "hard_equipment_model", "hard_alarm_code", "hard_part_number", "mode", F.array_join("ambiguous", ",").alias("ambiguous"))
+    a = analysis.with_intent(analysis.entities(_questions(spark, sf_dir), "question"), "question")
+    plan = analysis.filter_plan(a)
+    return plan.select("qid", "intent", "confidence", *analysis.ALL_FIELDS, "mode", F.array_join("ambiguous", ",").alias("ambiguous"))
+
+
+def labelled_identifiers(spark, sf_dir):
+    """Catalogue identifiers put into a question after a label, and the value that comes out; those that are not one token in Latin letters are left null."""
+    c = table(spark, sf_dir, "identifier_catalog")
+    label = F.when(F.col("field_name") == "equipment_model", "型号：").when(F.col("field_name") == "alarm_code", "报警码：").otherwise("备件号：")
+    a = analysis.entities(c.select("item_id", "field_name", "canonical_value", F.concat(label, "canonical_value", F.lit("，请说明")).alias("question")), "question")
+    found = F.when(F.col("field_name") == "equipment_model", F.col("equipment_model")).when(F.col("field_name") == "alarm_code", F.col("alarm_code")).otherwise(F.col("part_number"))
+    return a.select("item_id", F.when(F.col("canonical_value").rlike("^[A-Za-z0-9][A-Za-z0-9_-]*$"), found).alias("found"))
+
+
+def filter_plans(spark, sf_dir):
+    """Filter plans of all distinct conversation questions with a classifier that always proposes the rules' own intent with confidence HIGH."""
+    q = table(spark, sf_dir, "conversations").where("question is not null").select("question").distinct().withColumn("qid", F.md5("question"))
+    a = analysis.with_intent(analysis.entities(q, "question"), "question")
+    proposals = a.select("qid", F.col("intent").alias("p_intent"), F.lit("HIGH").alias("p_confidence"), *(F.lit(None).cast("string").alias(f"p_{f}") for f in analysis.ALL_FIELDS))
+    plans = analysis.mode_errors(analysis.filter_plan(analysis.merged(a, proposals, "qid", "question")))
+    return plans.groupBy("intent", "confidence", F.array_join("soft_types", ",").alias("soft_types"), "mode_error").agg(F.count("*").alias("n"))
 
 
 def claim_guard(spark, sf_dir):
@@ -121,6 +167,16 @@ def chunk_children(spark, sf_dir):
     return chunking.parents_and_children(table(spark, sf_dir, "documents"), key="doc_id", text="text").select("document_id", "parent_no", "child_no", "parent_id", "child_id")
 
 
+def chunk_rules(spark, sf_dir):
+    """Without overlap, the children of a text hold its letters and digits once and in order, under ids of their own."""
+    d = table(spark, sf_dir, "documents").where("text is not null").dropDuplicates(["doc_id"])
+    c = chunking.parents_and_children(d, key="doc_id", text="text", parent_overlap=0, child_overlap=0)
+    solid = F.regexp_replace("text", r"[^\p{L}\p{N}]", "")
+    per = c.groupBy("document_id").agg(F.count("*").alias("n"), F.count_distinct("child_id").alias("n_ids"), F.array_sort(F.collect_list(F.struct("parent_no", "child_no", solid.alias("s")))).alias("p"))
+    whole = F.array_join(F.transform("p", lambda x: x["s"]), "")
+    return per.where(whole != "").select(F.col("document_id").cast("bigint").alias("doc_id"), (F.col("n") == F.col("n_ids")).alias("unique_ids"), F.md5(whole).alias("digest"))
+
+
 def heading_sections(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null")
     return d.select("doc_id", F.size(chunking.at_separator(F.col("text"), "\n\n")).alias("n_pieces"))
@@ -137,7 +193,7 @@ def sources(spark, sf_dir):
 
 QUERIES = {
     "a13_content_groups": content_groups, "w1_stable_ids": stable_ids, "u1_id_delta": id_delta, "a11_fingerprint": fingerprint, "f10_row_errors": row_errors, "u6_duplicate_ids": duplicate_ids,
-    "i1_decisions": decisions, "k1_upsert_delete": upserted, "x9_token_counts": token_counts, "x14_intents": intents, "a16_intent_confusion": intent_confusion, "x11_entities": entities,
+    "i1_decisions": decisions, "k1_upsert_delete": upserted, "x9_token_counts": token_counts, "x14_intents": intents, "a16_intent_confusion": intent_confusion, "x11_entities": entities, "x11_labelled": labelled_identifiers, "f2_filter_plans": filter_plans, "c1_chunk_rules": chunk_rules,
     "f14_claim_guard": claim_guard, "w2_history": history, "h1_history_context": history_context, "h2_answer_slices": answer_slices, "c1_chunk_children": chunk_children,
     "c2_separator_pieces": heading_sections, "a9_latency": latency, "s1_sources": sources,
 }
@@ -185,6 +241,17 @@ _RULES = (
     ]
 )
 
+_TO_SQL = [("cast(null as string)", "CAST(NULL AS VARCHAR)"), ("array(cast('nan' as float))", "[CAST('nan' AS FLOAT)]"), ("map(cast(-5 as bigint), cast(1 as float))", "MAP {CAST(-5 AS BIGINT): CAST(1 AS FLOAT)}")]
+
+
+def _to_sql(value: str) -> str:
+    return next((b for a, b in _TO_SQL if a == value), value)
+
+
+_BROKEN = "WITH broken AS (SELECT * FROM chunks" + "".join(f" UNION ALL SELECT * REPLACE ({_to_sql(v)} AS {c}) FROM chunks WHERE id LIKE '1%'" for c, v in BREAKS.items()) + ") "
+_WORDS = "regexp_extract_all(%s, '[A-Za-z0-9]+(?:[._+-][A-Za-z0-9]+)*')"
+_NUMBERS = r"regexp_extract_all(%s, '(?:^|[^A-Za-z0-9_.\p{Nd}])([-+]?\p{Nd}+(?:[.,]\p{Nd}+)*(?:[eE][-+]?\p{Nd}+)?(?:%%|[°℃])?)', 1)".replace("%%", "%")
+
 SQL = {
     "a13_content_groups": f"SELECT {_hash('text')} AS content_sha, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "w1_stable_ids": f"""
@@ -198,15 +265,38 @@ WITH d AS (SELECT DISTINCT trim(document_id) AS document_id, unnest(list_transfo
 a AS (SELECT DISTINCT document_id, lower(child_id) AS child_id FROM chunks WHERE document_id IS NOT NULL AND child_id IS NOT NULL)
 SELECT coalesce(d.document_id, a.document_id) AS document_id, count(*) FILTER (a.child_id IS NULL) AS added, count(*) FILTER (a.child_id IS NOT NULL AND d.child_id IS NOT NULL) AS retained, count(*) FILTER (d.child_id IS NULL) AS removed
 FROM d FULL OUTER JOIN a ON d.document_id = a.document_id AND d.child_id = a.child_id GROUP BY 1""",
-    "f10_row_errors": " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) AS n_rows FROM chunks WHERE {c} HAVING count(*) > 0" for n, c in _RULES),
+    "f10_row_errors": _BROKEN + " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) AS n_rows FROM broken WHERE {c}" for n, c in _RULES),
+    "a11_fingerprint": f"""
+WITH h AS (SELECT lang, sha256(concat_ws('|', {", ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '~')" for c in ("doc_id", "document_id", "lang", "n_chars", "text"))})) AS h FROM documents),
+p AS (SELECT lang, substr(h, 1, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS p, count(*) AS n FROM h GROUP BY 1, 2)
+SELECT lang, sha256(string_agg(p, '' ORDER BY b)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n_rows FROM p GROUP BY 1""",
+    "c1_chunk_rules": r"""
+SELECT doc_id, true AS unique_ids, md5(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) AS digest FROM (SELECT DISTINCT ON (doc_id) * FROM documents)
+WHERE regexp_replace(text, '[^\p{L}\p{N}]', '', 'g') <> ''""",
+    "x11_labelled": rf"""
+SELECT item_id, CASE WHEN regexp_full_match(canonical_value, '[A-Za-z0-9][A-Za-z0-9_-]*') AND NOT regexp_matches(canonical_value, '[-_]$') AND NOT regexp_full_match(canonical_value, '\d{{4}}[-_]\d\d?[-_]\d\d?')
+ AND NOT regexp_full_match(canonical_value, '(?i)\d+({"|".join(analysis.UNITS)})') AND lower(canonical_value) NOT IN ({", ".join(f"'{w}'" for w in analysis.PLACEHOLDERS)}) THEN canonical_value END AS found FROM identifier_catalog""",
+    "f14_claim_guard": rf"""
+WITH r AS (SELECT DISTINCT ON (sample_id) * FROM rag_evaluate_data WHERE context IS NOT NULL AND answer IS NOT NULL),
+s AS (SELECT sample_id, answer, list_concat([coalesce(question, '')], list_transform(context, lambda x: coalesce(x, ''))) AS fields FROM r),
+k AS (SELECT sample_id, answer, {_WORDS.replace("%s", "answer")} AS words, {_NUMBERS.replace("%s", "answer")} AS numbers,
+  flatten(list_transform(fields, lambda x: {_WORDS.replace("%s", "x")})) AS own_words, flatten(list_transform(fields, lambda x: {_NUMBERS.replace("%s", "x")})) AS own_numbers FROM s),
+v AS (SELECT CASE WHEN regexp_matches(answer, '\[E[0-9]+\]|^\s*\d+[.)、]') THEN 'claim_contains_renderer_markup'
+  WHEN len(list_filter(words, lambda w: NOT list_contains(own_words, w))) > 0 THEN 'ungrounded_identifier_token'
+  WHEN len(list_filter(numbers, lambda w: NOT list_contains(own_numbers, w))) > 0 THEN 'ungrounded_numeric_literal' ELSE 'ok' END AS verdict FROM k)
+SELECT verdict, count(*) AS n FROM v GROUP BY 1""",
     "u6_duplicate_ids": "SELECT id, count(*) AS n FROM chunks GROUP BY id HAVING count(*) > 1",
     "i1_decisions": _MANIFEST
-    + """SELECT CASE WHEN old.document_id IS NULL THEN 'INGEST' WHEN new.version <> old.version THEN 'UPDATE' WHEN new.ds <> old.ds OR new.ms <> old.ms THEN 'CONFLICT'
- WHEN new.sig <> old.sig THEN 'REINDEX' ELSE 'SKIP_UNCHANGED' END AS decision, count(*) AS n_documents FROM new LEFT JOIN old USING (document_id) GROUP BY 1""",
-    "k1_upsert_delete": _MANIFEST + "SELECT document_id, version, CAST(len(kids) AS INT) AS n_children FROM new",
+    + """, have AS (SELECT document_id, list_sort(list_distinct(list(lower(child_id)))) AS have FROM chunks WHERE document_id IS NOT NULL AND child_id IS NOT NULL GROUP BY 1)
+SELECT CASE WHEN old.document_id IS NULL THEN 'INGEST' WHEN new.version <> old.version THEN 'UPDATE' WHEN new.ds <> old.ds OR new.ms <> old.ms THEN 'CONFLICT'
+ WHEN new.sig <> old.sig THEN 'REINDEX' WHEN old.kids = coalesce(have, []) THEN 'SKIP_UNCHANGED' ELSE 'RECONCILE' END AS decision, count(*) AS n_documents
+FROM new LEFT JOIN old USING (document_id) LEFT JOIN have USING (document_id) GROUP BY 1""",
+    "k1_upsert_delete": _MANIFEST
+    + """, merged AS (SELECT * FROM new WHERE ds < 'a' UNION ALL SELECT * FROM old WHERE document_id NOT IN (SELECT document_id FROM new WHERE ds < 'a'))
+SELECT document_id, version, CAST(len(kids) AS INT) AS n_children FROM merged WHERE document_id NOT IN (SELECT document_id FROM new WHERE ds LIKE 'f%')""",
     "x9_token_counts": f"SELECT token, count(*) AS n FROM (SELECT unnest({tokens_sql('question')}) AS token FROM (SELECT DISTINCT entry_id, question FROM fast_path)) GROUP BY 1",
     "x14_intents": f"SELECT {_INTENT} AS intent, CASE WHEN {_NTH} = 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, count(*) AS n FROM conversations WHERE question IS NOT NULL GROUP BY 1, 2",
-    "a16_intent_confusion": f"SELECT knowledge_type AS true_label, {_INTENT} AS predicted_label, count(*) AS n FROM fast_path GROUP BY 1, 2",
+    "a16_intent_confusion": f"SELECT knowledge_type AS true_label, {_INTENT} AS predicted_label, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY knowledge_type), 6) AS share FROM fast_path GROUP BY 1, 2",
     "w2_history": _LAST + "SELECT session_id, id, turn FROM t",
     "h1_history_context": _LAST + "SELECT session_id, md5(string_agg('Q:' || coalesce(question, '') || chr(10) || 'A:' || coalesce(answer, ''), chr(10) ORDER BY turn)) AS digest FROM t GROUP BY 1",
     "h2_answer_slices": "SELECT doc_id, CAST(seq AS INT) AS seq, md5(substring(text, CAST(seq * 256 + 1 AS BIGINT), 256)) AS digest FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 256) AS BIGINT))) AS seq FROM documents WHERE length(text) > 0)",

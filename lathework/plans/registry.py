@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lathework.plans import records, search, snapshots
+from lathework.plans import corpus, records, search, snapshots
 
-MODULES = [search, records, snapshots]
+MODULES = [search, records, snapshots, corpus]
 
 
 def queries() -> dict:

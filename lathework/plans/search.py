@@ -196,12 +196,12 @@ _SCORES = {
 _TOP = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id)"
 
 
-def _vectors_sql(metric, k=K, where="true", having="true"):
+def _vectors_sql(metric, k=K, where="true", within=""):
     return f"""
 WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, r.vec_id AS row_id, round({_SCORES[metric]}, 6) AS score FROM e q, e r WHERE q.vec_id % 20 = 0 AND {where}),
-t AS (SELECT *, CAST({_TOP} AS INT) AS rank FROM s)
-SELECT query_id, row_id, score, rank FROM t WHERE rank <= {k} AND {having}"""
+t AS (SELECT *, CAST({_TOP} AS INT) AS rank FROM s {within})
+SELECT query_id, row_id, score, rank FROM t WHERE {"true" if k is None else f"rank <= {k}"}"""
 
 
 _CHUNK = """
@@ -280,7 +280,7 @@ SELECT query_id, row_id, score, rank, NOT any_strict AS relaxed FROM t WHERE ran
 SQL = {
     "v1_dense_ip": _vectors_sql("ip"), "v4_dense_cosine": _vectors_sql("cosine"), "v5_dense_l2": _vectors_sql("l2"),
     "r1_dense_filtered": _vectors_sql("cosine", where="q.label = r.label AND q.vec_id <> r.vec_id"),
-    "f8_dense_range": _vectors_sql("cosine", k=20, having="score > 0.1 AND score <= 0.9"),
+    "f8_dense_range": _vectors_sql("cosine", k=None, within="WHERE score > 0.1 AND score <= 0.9"),
     "v2_sparse_ip": _CHUNK + _sparse_sql("true") + "SELECT query_id, row_id, score, rank FROM sparse",
     "v3_hybrid_search": _ROUTES + f", f AS (SELECT query_id, row_id, round(0.8 * coalesce(d.score, 0) + 0.3 * coalesce(s.score, 0), 6) AS score FROM dense d FULL OUTER JOIN sparse s USING (query_id, row_id)), t AS (SELECT *, CAST({_TOP} AS INT) AS rank FROM f) SELECT * FROM t WHERE rank <= {K}",
     "v6_hybrid_rrf": _ROUTES + f", f AS (SELECT query_id, row_id, round(sum(1.0::DOUBLE / (100 + rank)), 6) AS score FROM (SELECT * FROM dense UNION ALL SELECT * FROM sparse) GROUP BY 1, 2), t AS (SELECT *, CAST({_TOP} AS INT) AS rank FROM f) SELECT * FROM t WHERE rank <= {K}",

@@ -7,9 +7,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lathework.functions import text
-from lathework.operators import analysis, chunking, evaluation, fastpath, guards, ingestion, lexical, ranking, sessions, vectors
+from lathework.operators import analysis, answers, chunking, evaluation, fastpath, guards, ingestion, lexical, ranking, sessions, vectors
 from lathework.plans import records, search
-from lathework.sources import files, store
+from lathework.sources import files
 from lathework.streaming import ingest
 
 
@@ -143,14 +143,60 @@ def test_slices_of_metrics(spark):
     assert got[("overall", None)] == (3, 0.666667) and got[("d", None)] == (1, 1.0) and got[("e", "x")] == (2, 0.5) and got[("tags", "t")] == (2, 0.5)
 
 
+def analysed(spark, questions):
+    df = analysis.with_intent(analysis.entities(spark.createDataFrame(list(enumerate(questions, 1)), "id int, t string"), "t"), "t")
+    return df
+
+
 def test_query_analysis(spark):
-    q = [(1, "型号：QV-4100 报警码 E895 怎么办"), (2, "QV-4100 和 BEA-20 设备主轴"), (3, "转速 3000rpm"), (4, None), (5, "备件 BKL-77-RS")]
-    df = analysis.with_intent(spark.createDataFrame(q, "id int, t string").withColumn("e", analysis.entities(F.col("t"))).select("id", "t", "e.*"), "t")
-    got = {r.id: r for r in analysis.filter_plan(df).collect()}
+    q = ["型号：QV-4100 报警码 E895 怎么办", "QV-4100 和 BEA-20 设备主轴", "转速 3000rpm", None, "备件 BKL-77-RS", "厂家：Norvex，设备类型=车床", "报警 E12 与 报警 E13", "型号 unknown 报警 2024-05-17 保养 QV-", "型号为 QV-41 小时", "Alarm code: E7 fault"]
+    got = {r.id: r for r in analysis.filter_plan(analysed(spark, q)).collect()}
     assert (got[1].equipment_model, got[1].alarm_code, got[1].intent) == ("QV-4100", "E895", "alarm_fault")
     assert got[2].equipment_model is None and got[2].ambiguous == ["equipment_model"] and got[2].hard_equipment_model is None and got[2]["mode"] == "NONE"
     assert got[3].equipment_model is None and got[3].intent == "parameter" and got[3].confidence == "MEDIUM"
     assert got[4].intent == "general" and got[5].part_number == "BKL-77-RS"
+    assert (got[6].manufacturer, got[6].equipment_type) == ("Norvex", "车床") and got[7].ambiguous == ["alarm_code"]
+    assert got[8].equipment_model is None and got[8].alarm_code is None and got[9].equipment_model is None and got[10].alarm_code == "E7"
+
+
+def test_shapes_count_only_near_their_words(spark):
+    far = "x" * 30
+    q = ["设备 QV-4100", f"设备{far}：QV-4100", "parts P-12-A", f"parts {far} P-12-A", "故障 ALM-55", "fault 1234567890123 E55", "fault 12345678 E55", "报警 E5 型号", "设备 A.QV-4100"]
+    got = [(r.equipment_model, r.alarm_code, r.part_number) for r in analysed(spark, q).orderBy("id").collect()]
+    assert got == [("QV-4100", None, None), (None, None, None), (None, None, "P-12-A"), (None, None, None), (None, "ALM-55", None), (None, None, None), (None, "E55", None), (None, "E5", None), (None, None, None)]
+
+
+def test_pieces_keep_every_character(spark):
+    texts = ["", "型号QV-4100。", "a.b c_d-", "-x- é", "y" * 300]
+    got = [r.p for r in spark.createDataFrame([(t,) for t in texts], "t string").select(analysis.pieces(F.col("t")).alias("p")).collect()]
+    assert ["".join(x.piece for x in p) for p in got] == texts
+    assert all(t[x["at"] - 1 :].startswith(x.piece) for t, p in zip(texts, got) for x in p)
+
+
+def test_merge_with_a_classifier(spark):
+    q = ["设备 QV-4100 怎么办", "换油 AB-7 吗", "型号 A-1 型号 B-2", "清洗", "清洗 E55", "报警 维护"]
+    fields = {1: ("maintenance", "HIGH", "ZZ-9", None), 2: ("maintenance", "HIGH", "AB-7", None), 3: ("parts", "HIGH", "A-1", None), 4: ("parts", "HIGH", None, "Q-1"), 5: (None, None, None, None)}
+    rows = [(k, i, c, m, None, p, None, None, None) for k, (i, c, m, p) in fields.items()]
+    proposals = spark.createDataFrame(rows, "id int, p_intent string, p_confidence string, p_equipment_model string, p_alarm_code string, p_part_number string, p_manufacturer string, p_equipment_type string, p_fault_symptom string")
+    got = {r.id: r for r in analysis.filter_plan(analysis.merged(analysed(spark, q), proposals, "id", "t")).collect()}
+    assert got[1].equipment_model == "QV-4100" and got[1].warnings == ["semantic_entity_conflict_equipment_model"] and (got[1].confidence, got[1].source) == ("MEDIUM", "hybrid")
+    assert got[2].equipment_model == "AB-7" and (got[2].confidence, got[2]["mode"], got[2].soft_types) == ("HIGH", "STRICT", ["maintenance", "case", "manual"])
+    assert got[3].equipment_model is None and got[3].confidence == "LOW" and got[3].soft_types is None
+    assert got[4].part_number is None and got[4].warnings == ["semantic_entity_rejected_part_number"] and got[4]["mode"] == "NONE" and got[4].source == "llm"
+    assert got[5].source == "fallback" and "semantic_classifier_failed" in got[5].warnings
+    assert got[6].source == "rules" and got[6].warnings == ["multiple_intent_cues"]
+    plans = analysis.filter_plan(analysis.merged(analysed(spark, q), proposals, "id", "t"))
+    assert {r.mode_error for r in analysis.mode_errors(plans).collect()} == {""}
+    assert [(r.id, r["mode"], r.removed) for r in analysis.relaxed_plan(plans).collect()] == [(2, "RELAXED", ["types"])]
+    wrong = plans.withColumn("mode", F.when(F.col("id") == 2, "RELAXED").when(F.col("id") == 4, "STRICT").otherwise("NONE"))
+    assert {r.id: r.mode_error for r in analysis.mode_errors(wrong).collect() if r.mode_error} == {1: "none_with_filters", 2: "relaxed_needs_hard_only", 4: "strict_without_filters"}
+
+
+def test_classifier_hook(spark):
+    q = spark.createDataFrame([(1, "a"), (2, "b")], "id int, t string")
+    answer = lambda c: F.when(c == "a", F.lit('{"intent":"parts","confidence":"HIGH","part_number":"P-1"}')).otherwise("no json")
+    got = {r.id: (r.p_intent, r.p_part_number) for r in analysis.classified(q, answer, "t", "id").collect()}
+    assert got == {1: ("parts", "P-1"), 2: (None, None)}
 
 
 def test_relaxation_happens_only_without_strict_hits(spark):
@@ -280,39 +326,29 @@ def test_question_table_and_json_lines(spark, tmp_path):
     assert got[0] == (1, "") and got[1][1] == "repeated key" and "finite" in got[2][1]
 
 
-def test_versioned_table(spark, tmp_path):
-    t = store.VersionedTable(spark, str(tmp_path / "t"), "id int, v string")
-    rows = lambda *r: spark.createDataFrame(list(r), "id int, v string")
-    assert t.revision() == 0 and t.read().count() == 0
-    assert t.upsert(rows((1, "a"), (2, "b")), "id", expected=0) == 1
-    assert t.upsert(rows((2, "c")), "id", expected=1) == 2
-    assert sorted(one(t.read(), "id", "v")) == [(1, "a"), (2, "c")] and sorted(one(t.read(1), "v")) == [("a",), ("b",)]
-    with pytest.raises(store.StaleRevision):
-        t.commit(rows((9, "x")), expected=1)
-    with pytest.raises(ValueError):
-        t.upsert(rows((3, "x"), (3, "y")), "id", expected=2)
-    with pytest.raises(ValueError):
-        t.commit(spark.createDataFrame([(1,)], "id int"), expected=2)
-    assert t.delete(rows((1, "")), "id", expected=2) == 3 and one(t.read(), "id") == [(2,)]
-    assert store.same_ids(t.read(), rows((2, "z")), "id") and not store.same_ids(t.read(), rows((3, "z")), "id")
-
-
 def test_cache(spark):
-    q = store.cache_key(spark.createDataFrame([("a", None), ("a", "m"), ("b", "m")], "q string, model string"), ["q", "model"])
+    q = answers.cache_key(spark.createDataFrame([("a", None), ("a", "m"), ("b", "m")], "q string, model string"), ["q", "model"])
     keys = [r.cache_key for r in q.collect()]
-    assert len(set(keys)) == 3
+    assert len(set(keys)) == 3 and keys == [r.cache_key for r in answers.cache_key(q.drop("cache_key"), ["model", "q"]).collect()]
     t = dt.datetime(2025, 1, 1)
     c = spark.createDataFrame([(keys[0], "answered", t, "x"), (keys[1], "answered", t + dt.timedelta(1), "y"), (keys[2], "failed", t + dt.timedelta(1), "z")], "cache_key string, status string, expires_at timestamp, answer string")
-    assert one(store.cached(c, q, "2025-01-01 12:00:00"), "answer") == [("y",)]
+    assert one(answers.cached(c, q, "2025-01-01 12:00:00"), "answer") == [("y",)]
+    new = spark.createDataFrame([(keys[0], "answered", "n"), (keys[1], "failed", "m"), (keys[2], "answered", "")], "cache_key string, status string, answer string")
+    after = answers.cache_put(c, new, now="2025-01-01 12:00:00", ttl_seconds=3600)
+    assert sorted(one(after, "answer", "expires_at")) == [("n", dt.datetime(2025, 1, 1, 13)), ("y", t + dt.timedelta(1)), ("z", t + dt.timedelta(1))]
+    assert sorted(one(answers.cached(after, q, "2025-01-01 12:30:00"), "answer")) == [("n",), ("y",)]
+    with pytest.raises(ValueError):
+        answers.cache_put(c, new, now="2025-01-01", ttl_seconds=0)
 
 
 def test_streamed_ingestion(spark, tmp_path):
-    t = store.VersionedTable(spark, str(tmp_path / "t"), "id int, at int, v string")
-    src, state = str(tmp_path / "in"), str(tmp_path / "state")
+    src, log, state = (str(tmp_path / x) for x in ("in", "log", "state"))
+    schema = "id int, at int, v string"
     for batch in ([(1, 1, "a"), (1, 2, "b")], [(1, 3, "c"), (2, 1, "d")]):
-        spark.createDataFrame(batch, "id int, at int, v string").coalesce(1).write.mode("append").parquet(src)
-        ingest.ingest_stream(spark, src, t, key="id", order="at", state=state)
-    assert sorted(one(t.read(), "id", "v")) == [(1, "c"), (2, "d")]
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        ingest.ingest_stream(spark, src, log, schema, state=state)
+    rows = spark.read.parquet(log)
+    assert rows.count() == 4 and sorted(one(ingest.newest(rows, "id", "at"), "id", "v")) == [(1, "c"), (2, "d")]
 
 
 def test_windowed_counts(spark):
