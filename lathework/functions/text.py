@@ -15,10 +15,6 @@ SPACE = r"(?U)[\s\x1c-\x1f]+"
 TOKEN = r"([A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)*|[㐀-鿿]+)"
 
 
-#: Characters below this are in normal form C in any text.
-ALWAYS_NFC = r"^[\x00-\u02ff]*$"
-
-
 @F.pandas_udf(T.StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))

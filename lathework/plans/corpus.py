@@ -8,7 +8,8 @@ from lathework.functions import text
 from lathework.operators import analysis, answers, evaluation, fastpath, ingestion, lexical, manifest, runs, storage, variants, vectors
 from lathework.operators.snapshots import id_set, stripped
 from lathework.plans import records, search
-from lathework.session import table, written
+from lathework.session import shared_path, table, written
+from lathework.sources import files
 
 NONE = "array<string>"
 
@@ -266,7 +267,18 @@ def greetings(spark, sf_dir):
     return c.select(answers.greeting(F.col("question")).alias("reply")).groupBy("reply").agg(F.count("*").alias("n"))
 
 
+def files_read(spark, sf_dir):
+    """The documents written as text files with front matter, and read back from their folders as source files."""
+    d = table(spark, sf_dir, "documents").where("text is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
+    path = shared_path(spark, "files")
+    head = F.concat(F.lit("---\ndocument_id: D-"), F.col("doc_id").cast("string"), F.lit("\ndocument_version: '1.0'\ntitle: T\nknowledge_type: manual\n---\n"))
+    d.select(F.col("doc_id").alias("folder"), F.concat(head, "text").alias("value")).repartition("folder").write.partitionBy("folder").text(path)
+    read = files.documents(spark, path)
+    return read.select(F.substring("document_id", 3, 20).cast("bigint").alias("doc_id"), "ext", "metadata_source", "language", "error", F.md5("text").alias("digest"))
+
+
 QUERIES = {
+    "s2_files": files_read,
     "a6_run_aggregate": run_aggregate, "a7_channels": channels, "a10_paired_delta": paired_runs, "a10_paired_macro": paired_macro, "a17_document_counts": document_counts, "j8_label_errors": label_errors,
     "a16_intent_report": intent_report, "v11_probe": probe, "v12_routed": routed, "k7_integrity": integrity, "k5_commits": commits, "k17_deletes": deletes, "x17_metadata_sha": metadata_sha, "x7_revision": revision,
     "s19_stored_children": stored_children, "row_flat_cycles": flat_cycles, "row_sparse_maps": sparse_maps, "row_vector_checks": vector_checks, "f7_file_prefix": file_prefix, "f15_variants": query_variants,
@@ -327,6 +339,7 @@ _QUESTIONS = "WITH q AS (SELECT DISTINCT question, md5(question) AS qid FROM (SE
 _ENDS = r"regexp_replace(regexp_replace(x, '^[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+', ''), '[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+$', '')"
 
 SQL = {
+    "s2_files": "SELECT doc_id, 'txt' AS ext, 'front_matter' AS metadata_source, 'zh-CN' AS language, '' AS error, md5(max(text) || chr(10)) AS digest FROM documents WHERE text IS NOT NULL GROUP BY doc_id",
     "a6_run_aggregate": _INFO + _run_sql("a", "true") + f" SELECT 'all' AS part, {_FIGURES} FROM a UNION ALL SELECT CASE WHEN code IS NOT NULL THEN 'alarm' ELSE 'other' END, {_FIGURES} FROM a GROUP BY 1",
     "a10_paired_delta": _DELTAS + "SELECT * FROM x",
     "a10_paired_macro": _DELTAS + "SELECT count(*) AS n_samples, count(*) FILTER (mrr_delta > 0) AS better, count(*) FILTER (mrr_delta < 0) AS worse, round(avg(hit_delta), 6) AS hit_delta, round(avg(mrr_delta), 6) AS mrr_delta FROM x",

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lathework.operators.ingestion import CYCLE_UNITS, KNOWLEDGE_TYPES
+
 EXTENSIONS = ["txt", "md", "pdf", "docx", "ppt", "pptx", "jpg", "png"]
 PLAIN = ["txt", "md"]
 #: Column names of the question table's file, and ours.
@@ -87,9 +91,25 @@ def checked_metadata(value: dict) -> tuple[dict, str]:
     need = {"alarm": ["alarm_code"], "fault": ["fault_type", "fault_symptom"], "parts": ["part_number"], "maintenance": ["maintenance_type"]}.get(out["knowledge_type"], [])
     if need and not any(out.get(k) for k in need) and not (out["knowledge_type"] == "maintenance" and value.get("maintenance_cycle")):
         return {}, "conditional:" + out["knowledge_type"]
+    if out["knowledge_type"] not in KNOWLEDGE_TYPES:
+        return {}, "knowledge_type"
+    day = out.get("effective_date")
+    if day and (not re.fullmatch(r"\d{4}-\d{2}-\d{2}", day) or not _is_date(day)):
+        return {}, "effective_date"
+    cycle = value.get("maintenance_cycle")
+    if cycle is not None and not (isinstance(cycle, dict) and isinstance(cycle.get("value"), int | float) and not isinstance(cycle["value"], bool) and 0 < cycle["value"] < float("inf") and cycle.get("unit") in CYCLE_UNITS):
+        return {}, "maintenance_cycle"
     return {"language": "zh-CN"} | out, ""
 
 
+def _is_date(day: str) -> bool:
+    try:
+        date.fromisoformat(day)
+    except ValueError:
+        return False
+    return True
+
+
 DOCUMENT = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("path", "ext", "source", "document_sha256", "text", "metadata_source", "error")] + [T.StructField(c, T.StringType()) for c in METADATA]
 )
@@ -156,10 +176,16 @@ def json_error(c: Column) -> Column:
     return _json_error(c)
 
 
-def json_lines(spark: SparkSession, path: str, schema: str, *, header: bool = False) -> DataFrame:
-    """Rows of a JSON-lines file by ``schema`` with ``error``; ``header`` leaves out a first line that describes the set."""
-    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
+def json_lines(spark: SparkSession, path: str, schema: str, *, header: bool = False, most_bytes: int = 32 * 1024 * 1024) -> DataFrame:
+    """Rows of JSON-lines files by ``schema`` with ``error``; ``header`` leaves out the first line of every file, which describes the set.
+
+    A file larger than ``most_bytes`` gives one row with the error 'too_large', so whole files can be read at once and their lines numbered.
+    """
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_size").alias("size"))
+    large = F.col("size") > most_bytes
+    lines = whole.where(~large).select(F.posexplode(F.split("value", "\n")).alias("n", "value"))
     if header:
-        lines = lines.where(F.col("n") > 0)
-    checked = lines.where("trim(value) <> ''").withColumn("error", json_error(F.col("value")))
+        lines = lines.where("n > 0")
+    checked = lines.where("trim(value) <> ''").withColumn("error", json_error(F.col("value"))).select("value", "error")
+    checked = checked.unionByName(whole.where(large).select(F.lit(None).cast("string").alias("value"), F.lit("too_large").alias("error")))
     return checked.select("error", F.when(F.col("error") == "", F.from_json("value", schema)).alias("r")).select("r.*", "error")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from lathework.functions import text
 from lathework.operators import answers, evaluation, fastpath, manifest, runs, storage, variants
-from lathework.sources import sinks
+from lathework.sources import files, sinks
 from lathework.streaming import ingest  # noqa: F401
 
 
@@ -258,3 +258,21 @@ def test_json_text_equals_a_json_writer(spark):
 def test_every_query_with_sql_is_registered():
     q, o = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(o) <= set(q) and len(q) > 80
+
+
+def test_metadata_rules():
+    good = {"document_id": "D", "document_version": "1", "title": "T", "knowledge_type": "manual"}
+    assert files.checked_metadata(good | {"effective_date": "2024-02-29", "maintenance_cycle": {"value": 3, "unit": "day"}})[1] == ""
+    wrong = {
+        "knowledge_type": {"knowledge_type": "poem"}, "effective_date": {"effective_date": "2023-02-29"}, "maintenance_cycle": {"maintenance_cycle": {"value": 0, "unit": "day"}},
+        "unknown_field:colour": {"colour": "red"}, "required:title": {"title": " "}, "conditional:parts": {"knowledge_type": "parts"},
+    }
+    assert {e: files.checked_metadata(good | w)[1] for e, w in wrong.items()} == {e: e for e in wrong}
+
+
+def test_headers_of_several_files_are_left_out(spark, tmp_path):
+    for n in (1, 2):
+        (tmp_path / f"{n}.jsonl").write_text('{"about":"set"}\n{"a":%d}\n\n{"a":1,"a":2}\n' % n, "utf-8")
+    (tmp_path / "3.jsonl").write_text('{"about":"set"}\n' + '{"a":9}\n' * 40, "utf-8")
+    got = rows_of(files.json_lines(spark, str(tmp_path), "a int", header=True, most_bytes=200), F.coalesce("a", F.lit(-1)), "error")
+    assert got == [(-1, "repeated key"), (-1, "repeated key"), (-1, "too_large"), (1, ""), (2, "")]
