@@ -153,3 +153,8 @@ def test_thai_characters(spark):
 
 def test_line_numbers_count_line_feeds_only(spark):
     assert line_hits(spark, {"s": "Page 2 of 9\nStop\rnow.\r\nStop the machlne."}, ["Stop the machine now."] * 30) == {("s", 3)}
+
+
+def test_lines_that_end_within_identifiers_are_joined():
+    assert op.repaired_text("注意：NØR\nD_6574停用超过2\n8天时，由Norvex Co.\nLtd.提供。", []) == "注意：NØRD_6574停用超过28天时，由Norvex Co. Ltd.提供。"
+    assert op.repaired_text("Order the\nnew part 20\n30 times", []) == "Order the new part 20 30 times"
