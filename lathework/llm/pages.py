@@ -635,7 +635,7 @@ def repaired_text(text: str, places: list) -> str:
             end = p["at"] + len(p["raw"])
             new = p["candidate"] if p["kind"] in "dncef" else _cased(p["raw"], p["candidate"])
             lines[i] = lines[i][: p["at"]] + new + lines[i][end:]
-    paragraphs, current, rest = [], "", ""
+    paragraphs, current, rest, before = [], "", "", ""
     wrapped = IDEOGRAPH.search(text) is not None  # lines of such scripts end after any character, within words and numbers, too
     for i, line in enumerate(lines):
         if line is None:
@@ -650,9 +650,10 @@ def repaired_text(text: str, places: list) -> str:
                 paragraphs.append(current)
             current = s
         elif s:
-            within = wrapped and current and (current[-1].isalpha() and s[0].isalpha() or current[-1].isdigit() and s[0].isdigit() or current[-1] in "_-/" or s[0] in "_-/.,")
+            within = wrapped and current and (IDEOGRAPH.search(s) or IDEOGRAPH.search(before)) and (current[-1].isalpha() and s[0].isalpha() or current[-1].isdigit() and s[0].isdigit() or current[-1] in "_-/" or s[0] in "_-/.,")
             tight = not current or within or current[-1] == "-" and current[-2:-1].isalnum() and s[0].isalnum() or IDEOGRAPH.match(current[-1]) or IDEOGRAPH.match(s[0]) and not current[-1].isascii() or current[-1] in "，。！？；：、（“「"
             current = current + ("" if tight else " ") + s
+        before = s
     if current:
         paragraphs.append(current)
     return "\n\n".join(paragraphs)
