@@ -49,6 +49,13 @@ def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_scores_of_all_entries_are_not_shuffled_for_the_best(spark, tmp_path):
+    folder = _own_tables(spark, tmp_path)
+    for run in (search.bm25_topk,):
+        plan = _plan(run(spark, folder))
+        assert "FlatMapCoGroups" in plan and "sum((cast(qtf" not in plan
+
+
 def test_scores_of_all_entries_are_not_shuffled_for_the_softmax(spark, tmp_path):
     plan = _plan(search.bm25_softmax(spark, _own_tables(spark, tmp_path)))
     assert "FlatMapCoGroups" in plan and "sum((cast(qtf" not in plan
