@@ -51,7 +51,7 @@ def _plan(df):
 
 def test_scores_of_all_entries_are_not_shuffled_for_the_best(spark, tmp_path):
     folder = _own_tables(spark, tmp_path)
-    for run in (search.bm25_topk,):
+    for run in (search.bm25_topk, search.threshold_sweep):
         plan = _plan(run(spark, folder))
         assert "FlatMapCoGroups" in plan and "sum((cast(qtf" not in plan
 
