@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from lathework.functions.text import finite
 
 METRICS = ("ip", "cosine", "l2")
+#: How many queries and rows are scored at a time, and of how many rows at once only the best rough score is looked at first.
+PART, PIECE, SEGMENT = 256, 8192, 32
+#: Pairs of a part that are kept before they are cut to k a query.
+MOST_PAIRS = 4_000_000
 
 
 def valid_vectors(df: DataFrame, vector: str, dim: int) -> DataFrame:
@@ -41,17 +45,97 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64)
 
 
+def _rough(v: np.ndarray, metric: str) -> np.ndarray | None:
+    """Vectors in single precision, for cosines of length 1; None where that is not safe."""
+    n = (v * v).sum(1)
+    if metric not in ("ip", "cosine") or not (np.isfinite(n) & ((n == 0) | (n > 1e-30) & (n < 1e30))).all():
+        return None
+    return (np.divide(v, np.sqrt(n)[:, None], out=np.zeros_like(v), where=n[:, None] > 0) if metric == "cosine" else v).astype(np.float32)
+
+
+def _pair_scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """As :func:`_scores`, of each query with the row in its place."""
+    dot = (q * x).sum(1)
+    if metric == "cosine":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dot = np.nan_to_num(dot / np.sqrt((q * q).sum(1) * (x * x).sum(1)))
+    return np.round(dot, 6)
+
+
+def _nearest(q: np.ndarray, x: np.ndarray, rough: tuple[np.ndarray, np.ndarray], metric: str, k: int, own: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the ``k`` best rows of each query, best first, ties by row; ``own``: first and end of the rows that don't count for a query.
+
+    All pairs get a rough score in single precision. The k-th best of the segments' best is a lower bound for the k-th best
+    row; what is not within the error of that bound can't be among k best, all else is scored in double precision.
+    """
+    (qs, xs), n, kept, size = rough, len(x), [], 0
+    reach = 1.0 if metric == "cosine" else np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1)).max(initial=0)
+    margin = 2e-6 + (q.shape[1] + 8) * 1.2e-7 * reach  # rounding to 6 places, twice the rough error
+    best = np.full((len(q), k), -np.inf, dtype=np.float32)
+
+    def cut(pairs):
+        at, row = (np.concatenate(c) for c in zip(*pairs))
+        score = _pair_scores(q[at], x[row], metric)
+        order = np.lexsort((row, -score, at))
+        at, row, score = at[order], row[order], score[order]
+        first = np.arange(len(at)) - np.searchsorted(at, at) < k
+        return at[first], row[first], score[first]
+
+    for c in range(0, n, PIECE):
+        s = qs @ xs[c : c + PIECE].T
+        if own is not None:
+            for j in np.flatnonzero((own[0] < min(c + PIECE, n)) & (own[1] > c) & (own[0] < own[1])):
+                s[j, max(own[0][j] - c, 0) : max(own[1][j] - c, 0)] = -np.inf
+        if rest := -s.shape[1] % SEGMENT:
+            s = np.pad(s, ((0, 0), (0, rest)), constant_values=-np.inf)
+        s = s.reshape(len(q), -1, SEGMENT)
+        tops = s.max(2)
+        best = np.partition(np.concatenate([best, tops], 1), tops.shape[1], axis=1)[:, tops.shape[1] :]
+        least = (best.min(1) - margin).astype(np.float32)
+        at, seg = np.nonzero((tops >= least[:, None]) & (tops > -np.inf))
+        inner = s[at, seg]
+        a, b = np.nonzero((inner >= least[at][:, None]) & (inner > -np.inf))
+        kept.append((at[a], c + seg[a] * SEGMENT + b))
+        size += len(a)
+        if size > MOST_PAIRS:
+            kept = [cut(kept)[:2]]
+            size = len(kept[0][0])
+    return cut(kept)
+
+
 def _scorer(types: tuple[str, str], metric: str, k: int | None, *, groups: bool, exclude_self: bool, above: float | None = None, up_to: float | None = None):
     """A function on one block of queries and one of rows that gives at most ``k`` hits per query, and its schema."""
 
+    def nothing(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": left["query_id"][:0], "row_id": right["row_id"][:0], "score": np.empty(0)}, index=range(0))
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame | None:
+        """By rough scores first, where that is safe."""
+        q, x = _matrix(left["vector"]), _matrix(right["vector"])
+        qs, xs = _rough(q, metric), _rough(x, metric)
+        if qs is None or xs is None:
+            return None
+        asked, ids, found = left["query_id"].to_numpy(), right["row_id"].to_numpy(), []
+        own = (np.searchsorted(ids, asked), np.searchsorted(ids, asked, side="right")) if exclude_self else None
+        for start in range(0, len(left), PART):
+            part = slice(start, start + PART)
+            at, row, s = _nearest(q[part], x, (qs[part], xs), metric, k, own and (own[0][part], own[1][part]))
+            found.append(pd.DataFrame({"query_id": asked[part][at], "row_id": ids[row], "score": s}))
+        return pd.concat(found, ignore_index=True)
+
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": left["query_id"][:0], "row_id": right["row_id"][:0], "score": np.empty(0)})
+            return nothing(left, right)
         right = right.sort_values("row_id", ignore_index=True)
         ids, found = right["row_id"].to_numpy(), []
         x = _matrix(right["vector"])
-        for start in range(0, len(left), 256):
-            part = left.iloc[start : start + 256]
+        if k is not None and above is None and up_to is None:
+            rows_of = right.groupby("grp", sort=False).indices if groups else {}
+            parts = [nearest(l, right.iloc[rows_of[g]]) for g, l in left.groupby("grp", sort=False) if g in rows_of] if groups else [nearest(left, right)]
+            if all(x is not None for x in parts):
+                return pd.concat(parts, ignore_index=True) if parts else nothing(left, right)
+        for start in range(0, len(left), PART):
+            part = left.iloc[start : start + PART]
             s = np.round(_scores(_matrix(part["vector"]), x, metric), 6)
             if groups:
                 s = np.where(part["grp"].to_numpy(dtype=object)[:, None] == right["grp"].to_numpy(dtype=object)[None, :], s, -np.inf)

@@ -17,10 +17,14 @@ NONE = "array<string>"
 # evaluation runs
 
 
-def _run(spark, sf_dir, *, same_group: bool):
-    """A run over the query set: each chunk asks with its vector for its siblings, its parent and its document, and expects hits of its own identifiers."""
-    q, r = search._chunks(spark, sf_dir)
-    hits = vectors.block_search(q.select("query_id", "vector", "grp"), r.select("row_id", "vector", "grp"), k=20, metric="cosine", same_group=same_group, exclude_self=True)
+def _run(spark, sf_dir, chunks, *, same_group: bool):
+    """A run over the query set: each chunk asks with its vector for its siblings, its parent and its document, and expects hits of its own identifiers.
+
+    ``chunks``: the query set and all rows. Their vectors are short, so large blocks of them fit a task and fewer copies are shuffled.
+    """
+    q, r = chunks
+    sizes = {"block_rows": 200_000, "block_queries": 20_000}
+    hits = vectors.block_search(q.select("query_id", "vector", "grp"), r.select("row_id", "vector", "grp"), k=20, metric="cosine", same_group=same_group, exclude_self=True, **sizes)
     c = table(spark, sf_dir, "chunks").where("id is not null").groupBy(F.col("id").alias("row_id")).agg(F.min(F.struct("parent_id", "document_id", "equipment_model", "alarm_code", "part_number")).alias("c")).select("row_id", "c.*")
     item = F.struct("rank", "row_id", "parent_id", "document_id", *runs.HARD)
     got = hits.join(c, "row_id").groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
@@ -37,12 +41,12 @@ def _run(spark, sf_dir, *, same_group: bool):
 
 def run_aggregate(spark, sf_dir):
     """The run without filters, overall and for samples that expect an alarm code or not."""
-    x = written(_run(spark, sf_dir, same_group=False).withColumn("part", F.when(F.col("expected_alarm_code").isNotNull(), "alarm").otherwise("other")), "run")
+    x = written(_run(spark, sf_dir, search._chunks(spark, sf_dir), same_group=False).withColumn("part", F.when(F.col("expected_alarm_code").isNotNull(), "alarm").otherwise("other")), "run")
     return runs.run_aggregate(x.withColumn("part", F.lit("all"))).withColumn("part", F.lit("all")).unionByName(runs.run_aggregate(x, "part"))
 
 
 def _pairs(spark, sf_dir):
-    return runs.paired(_run(spark, sf_dir, same_group=False), _run(spark, sf_dir, same_group=True))
+    return runs.paired(_run(spark, sf_dir, search._chunks(spark, sf_dir), same_group=False), _run(spark, sf_dir, search._chunks(spark, sf_dir), same_group=True))
 
 
 def paired_runs(spark, sf_dir):

@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from lathework.operators import lexical
+from lathework.operators import lexical, vectors
 from lathework.plans import search
 
 
@@ -59,3 +62,28 @@ def test_scores_of_all_entries_are_not_shuffled_for_the_best(spark, tmp_path):
 def test_scores_of_all_entries_are_not_shuffled_for_the_softmax(spark, tmp_path):
     plan = _plan(search.bm25_softmax(spark, _own_tables(spark, tmp_path)))
     assert "FlatMapCoGroups" in plan and "sum((cast(qtf" not in plan
+
+
+@pytest.mark.parametrize("metric", ["ip", "cosine"])
+@pytest.mark.parametrize("groups", [False, True])
+def test_nearest_rows_equal_brute_force_with_ties_and_without_a_full_sort(metric, groups, monkeypatch):
+    monkeypatch.setattr(vectors, "PIECE", 640)
+    monkeypatch.setattr(vectors, "MOST_PAIRS", 3000)
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(size=(5000, 4)), 1).astype(np.float32)  # many near and equal scores
+    x[:300], x[300:310] = x[0], 0
+    ids = [f"{i:05d}" for i in r.permutation(5000)]
+    right = pd.DataFrame({"row_id": ids, "vector": list(x), "grp": [i % 7 for i in range(5000)]})
+    left = right.iloc[[0, 305, *range(600, 900)]].rename(columns={"row_id": "query_id"})
+    sorted_over = []
+    argsort = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *args, **kw: sorted_over.append(np.shape(a)) or argsort(a, *args, **kw))
+    score, _ = vectors._scorer(("string", "string"), metric, 20, groups=groups, exclude_self=True)
+    got = score(left, right)
+    assert not [s for s in sorted_over if len(s) == 2 and s[1] == 5000]
+    for i in (0, 1, 2, 99, 301):
+        q = left.iloc[i]
+        s = np.round(vectors._scores(np.array([q.vector], dtype=float), x.astype(float), metric)[0], 6)
+        rows = [(-v, n) for v, n, g in zip(s, ids, right["grp"]) if n != q.query_id and (not groups or g == q.grp)]
+        mine = got[got.query_id == q.query_id]
+        assert [n for _, n in sorted(rows)[:20]] == mine.row_id.tolist() and np.allclose([-v for v, _ in sorted(rows)[:20]], mine.score)
