@@ -46,7 +46,8 @@ def run_aggregate(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    return runs.paired(_run(spark, sf_dir, search._chunks(spark, sf_dir), same_group=False), _run(spark, sf_dir, search._chunks(spark, sf_dir), same_group=True))
+    chunks = search._chunks(spark, sf_dir)  # written once for both runs
+    return runs.paired(_run(spark, sf_dir, chunks, same_group=False), _run(spark, sf_dir, chunks, same_group=True))
 
 
 def paired_runs(spark, sf_dir):

@@ -5,8 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lathework.operators import lexical, vectors
-from lathework.plans import search
+from lathework.operators import lexical, runs, vectors
+from lathework.plans import corpus, search
 
 
 def _questions(n, seed):
@@ -87,3 +87,18 @@ def test_nearest_rows_equal_brute_force_with_ties_and_without_a_full_sort(metric
         rows = [(-v, n) for v, n, g in zip(s, ids, right["grp"]) if n != q.query_id and (not groups or g == q.grp)]
         mine = got[got.query_id == q.query_id]
         assert [n for _, n in sorted(rows)[:20]] == mine.row_id.tolist() and np.allclose([-v for v, _ in sorted(rows)[:20]], mine.score)
+
+
+def _shared(monkeypatch, query):
+    """How often the chunks are made, and whether both runs got the same."""
+    made, runs_of = [], []
+    monkeypatch.setattr(search, "_chunks", lambda *a: made.append(a) or ("q", "r"))
+    monkeypatch.setattr(corpus, "_run", lambda spark, sf_dir, chunks, same_group: runs_of.append(chunks))
+    monkeypatch.setattr(runs, "paired", lambda a, b: None)
+    monkeypatch.setattr(runs, "paired_macro", lambda pairs: None)
+    query(None, "x")
+    return len(made), len(runs_of) == 2 and runs_of[0] is runs_of[1]
+
+
+def test_paired_runs_share_one_table_of_chunks(monkeypatch):
+    assert _shared(monkeypatch, corpus.paired_runs) == (1, True)
