@@ -102,3 +102,7 @@ def _shared(monkeypatch, query):
 
 def test_paired_runs_share_one_table_of_chunks(monkeypatch):
     assert _shared(monkeypatch, corpus.paired_runs) == (1, True)
+
+
+def test_paired_macro_shares_one_table_of_chunks(monkeypatch):
+    assert _shared(monkeypatch, corpus.paired_macro) == (1, True)
