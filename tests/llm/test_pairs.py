@@ -116,3 +116,11 @@ def test_planted_pairs_have_their_defect(spark):
     assert sum(r.planted == "none" for r in rows) == 60 and all(r.answer == r.question for r in rows if r.planted == "copies_question")
     assert all(("小时" in r.answer) != ("减速机" in r.question) for r in rows if r.planted == "other_language")
     assert op.planted(spark.createDataFrame(good, "row_key string, question string, answer string"), 7).where("planted = 'none'").count() == 7
+
+
+def test_planted_pairs_come_from_all_sound_pairs_by_default(spark):
+    zh = [(f"z{i}", f"第{i}号减速机多久更换一次润滑油？", f"第{i}号每运行{i}小时更换一次，并且检查油位。") for i in range(2100)]
+    en = [(f"e{i}", f"How often is the oil of gear {i} changed?", f"The oil of the gear is changed every {i} hours and is then checked.") for i in range(2100)]
+    rows = op.planted(spark.createDataFrame(zh + en, "row_key string, question string, answer string"), bucket=500).groupBy("planted").count().collect()
+    n = {r.planted: r["count"] for r in rows}
+    assert n["none"] == n["truncated"] == n["refusal"] == 4200 and n["other_language"] > 3500
