@@ -9,7 +9,7 @@ from lathework.operators import analysis, answers, evaluation, fastpath, ingesti
 from lathework.operators.snapshots import id_set, stripped
 from lathework.plans import records, search
 from lathework.session import shared_path, table, written
-from lathework.sources import files
+from lathework.sources import files, sinks
 
 NONE = "array<string>"
 
@@ -277,7 +277,8 @@ def files_read(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
     path = shared_path(spark, "files")
     head = F.concat(F.lit("---\ndocument_id: D-"), F.col("doc_id").cast("string"), F.lit("\ndocument_version: '1.0'\ntitle: T\nknowledge_type: manual\n---\n"))
-    d.select(F.col("doc_id").alias("folder"), F.concat(head, "text").alias("value")).repartition("folder").write.partitionBy("folder").text(path)
+    named = d.select(F.concat_ws("/", F.pmod(F.xxhash64("doc_id"), F.lit(256)), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("name"), F.concat(head, "text", F.lit("\n")).alias("value"))
+    sinks.write_files(named, path)
     read = files.documents(spark, path)
     return read.select(F.substring("document_id", 3, 20).cast("bigint").alias("doc_id"), "ext", "metadata_source", "language", "error", F.md5("text").alias("digest"))
 

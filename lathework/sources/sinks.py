@@ -69,3 +69,24 @@ def training_lines(spark: SparkSession, path: str) -> DataFrame:
 def samples(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation samples of one JSON array or object per file: question, context, answer, ground_truth."""
     return spark.read.schema("question string, context array<string>, answer string, ground_truth string").option("multiLine", "true").json(path)
+
+
+def write_files(df: DataFrame, path: str) -> None:
+    """One file below ``path`` for each row: ``name`` (with its folders) and ``value``. Tasks write them in place, and a repeated task writes the same files again; Spark's own writer moves each file and starts a process for its permissions on local disks."""
+
+    def write(batches):
+        from pyarrow import fs
+
+        at, root = fs.FileSystem.from_uri(path)
+        folders = set()
+        for b in batches:
+            for name, value in zip(b["name"], b["value"]):
+                folder = f"{root}/{name}".rpartition("/")[0]
+                if folder not in folders:
+                    at.create_dir(folder, recursive=True)
+                    folders.add(folder)
+                with at.open_output_stream(f"{root}/{name}") as f:
+                    f.write(value.encode())
+            yield b.iloc[:0][["name"]]
+
+    df.select("name", "value").mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
