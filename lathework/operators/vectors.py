@@ -22,6 +22,8 @@ METRICS = ("ip", "cosine", "l2")
 PART, PIECE, SEGMENT = 256, 8192, 32
 #: Pairs of a part that are kept before they are cut to k a query.
 MOST_PAIRS = 4_000_000
+#: Cosines of vectors of at most so many members are searched by boxes of at most so many rows, if there are more than two boxes, and so many neighbouring queries at a time; in more dimensions boxes bound next to nothing.
+BOXED, BOX, NEIGHBOURS = 8, 256, 64
 
 
 def valid_vectors(df: DataFrame, vector: str, dim: int) -> DataFrame:
@@ -62,6 +64,82 @@ def _pair_scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return np.round(dot, 6)
 
 
+def _boxes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the rows, first place of each box and the end, least and greatest members in each box): rows halved along their widest dimension down to :data:`BOX` rows."""
+    order, cuts, lows, highs, open_ = np.arange(len(x)), [], [], [], [(0, len(x))]
+    while open_:
+        a, b = open_.pop()
+        part = x[order[a:b]]
+        low, high = part.min(0), part.max(0)
+        if b - a <= BOX:
+            cuts.append(a)
+            lows.append(low)
+            highs.append(high)
+            continue
+        m = (b - a) // 2
+        order[a:b] = order[a:b][np.argpartition(part[:, (high - low).argmax()], m)]
+        open_ += [(a + m, b), (a, a + m)]  # the left half is next, so boxes come in their order
+    return order, np.array([*cuts, len(x)]), np.array(lows, dtype=np.float64), np.array(highs, dtype=np.float64)
+
+
+def _cut(q: np.ndarray, x: np.ndarray, pairs: list, metric: str, k: int, own: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of the kept (query, row) per query with their scores, ties by row."""
+    at, row = (np.concatenate(c) for c in zip(*pairs))
+    if own is not None:
+        other = (row < own[0][at]) | (row >= own[1][at])
+        at, row = at[other], row[other]
+    score = _pair_scores(q[at], x[row], metric)
+    order = np.lexsort((row, -score, at))
+    at, row, score = at[order], row[order], score[order]
+    first = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[first], row[first], score[first]
+
+
+def _margin(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray | float:
+    """How far a rough score may be below the k-th best one at most, for a row to be among the best: rounding to 6 places, twice the rough error."""
+    reach = 1.0 if metric == "cosine" else np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1)).max(initial=0)
+    return 2e-6 + (q.shape[1] + 8) * 1.2e-7 * reach
+
+
+def _nearest_boxed(q: np.ndarray, x: np.ndarray, rough: tuple[np.ndarray, np.ndarray], k: int, own: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`_nearest` for cosines in few dimensions, with the same result: only boxes whose best possible score reaches the k-th best row known are scored.
+
+    Of neighbouring queries, the rows of the nearest boxes give the lower bound for the k-th best. What a box holds is bounded by
+    the distance to it: 2 qx = q² + x² - (q - x)².
+    """
+    qs, xs = rough
+    margin = _margin(q, x, "cosine")
+    order, cuts, low, high = _boxes(xs)
+    sizes, qd = np.diff(cuts), qs.astype(np.float64)
+    length = np.maximum.reduceat((xs[order].astype(np.float64) ** 2).sum(1), cuts[:-1])
+    home = np.concatenate([(qs[c : c + PIECE // 8] @ ((low + high) / 2).T.astype(np.float32)).argmax(1) for c in range(0, len(q), PIECE // 8)])
+    nearby = np.argsort(home, kind="stable")
+    more = k if own is None else k + int((own[1] - own[0]).max(initial=0))  # own rows may be among the best
+    rows_of = lambda boxes: np.concatenate([order[cuts[b] : cuts[b + 1]] for b in boxes])
+    found = []
+    for start in range(0, len(q), NEIGHBOURS):
+        at = nearby[start : start + NEIGHBOURS]
+        away = sum((v[:, None] - np.clip(v[:, None], a, b)) ** 2 for v, a, b in zip(qd[at].T, low.T, high.T))
+        most = ((qd[at] ** 2).sum(1)[:, None] + length - away) / 2
+        seeds = np.unique(home[at])
+        if (have := sizes[seeds].sum()) < 2 * more:
+            near = np.argsort(-most.mean(0), kind="stable")
+            seeds = np.union1d(seeds, near[: np.searchsorted(np.cumsum(sizes[near]), 2 * more - have) + len(seeds) + 1])
+        s = qs[at] @ xs[rows_of(seeds)].T
+        bound = np.partition(s, s.shape[1] - more, axis=1)[:, s.shape[1] - more] if s.shape[1] >= more else np.full(len(at), -np.inf, dtype=np.float32)
+        least = (bound - margin).astype(np.float32)
+        rows, kept, size = rows_of(np.flatnonzero((most >= least[:, None]).any(0))), [], 0
+        for c in range(0, len(rows), PIECE):
+            i, j = np.nonzero(qs[at] @ xs[rows[c : c + PIECE]].T >= least[:, None])
+            kept.append((at[i], rows[c + j]))
+            size += len(i)
+            if size > MOST_PAIRS:
+                kept = [_cut(q, x, kept, "cosine", k, own)[:2]]
+                size = len(kept[0][0])
+        found.append(_cut(q, x, kept, "cosine", k, own))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def _nearest(q: np.ndarray, x: np.ndarray, rough: tuple[np.ndarray, np.ndarray], metric: str, k: int, own: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score) of the ``k`` best rows of each query, best first, ties by row; ``own``: first and end of the rows that don't count for a query.
 
@@ -69,18 +147,9 @@ def _nearest(q: np.ndarray, x: np.ndarray, rough: tuple[np.ndarray, np.ndarray],
     row; what is not within the error of that bound can't be among k best, all else is scored in double precision.
     """
     (qs, xs), n, kept, size = rough, len(x), [], 0
-    reach = 1.0 if metric == "cosine" else np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1)).max(initial=0)
-    margin = 2e-6 + (q.shape[1] + 8) * 1.2e-7 * reach  # rounding to 6 places, twice the rough error
+    margin = _margin(q, x, metric)
     best = np.full((len(q), k), -np.inf, dtype=np.float32)
 
-    def cut(pairs):
-        at, row = (np.concatenate(c) for c in zip(*pairs))
-        score = _pair_scores(q[at], x[row], metric)
-        order = np.lexsort((row, -score, at))
-        at, row, score = at[order], row[order], score[order]
-        first = np.arange(len(at)) - np.searchsorted(at, at) < k
-        return at[first], row[first], score[first]
-
     for c in range(0, n, PIECE):
         s = qs @ xs[c : c + PIECE].T
         if own is not None:
@@ -98,9 +167,9 @@ def _nearest(q: np.ndarray, x: np.ndarray, rough: tuple[np.ndarray, np.ndarray],
         kept.append((at[a], c + seg[a] * SEGMENT + b))
         size += len(a)
         if size > MOST_PAIRS:
-            kept = [cut(kept)[:2]]
+            kept = [_cut(q, x, kept, metric, k)[:2]]
             size = len(kept[0][0])
-    return cut(kept)
+    return _cut(q, x, kept, metric, k)
 
 
 def _scorer(types: tuple[str, str], metric: str, k: int | None, *, groups: bool, exclude_self: bool, above: float | None = None, up_to: float | None = None):
@@ -117,6 +186,9 @@ def _scorer(types: tuple[str, str], metric: str, k: int | None, *, groups: bool,
             return None
         asked, ids, found = left["query_id"].to_numpy(), right["row_id"].to_numpy(), []
         own = (np.searchsorted(ids, asked), np.searchsorted(ids, asked, side="right")) if exclude_self else None
+        if metric == "cosine" and 0 < x.shape[1] <= BOXED and len(x) > 2 * BOX:
+            at, row, s = _nearest_boxed(q, x, (qs, xs), k, own)
+            return pd.DataFrame({"query_id": asked[at], "row_id": ids[row], "score": s})
         for start in range(0, len(left), PART):
             part = slice(start, start + PART)
             at, row, s = _nearest(q[part], x, (qs[part], xs), metric, k, own and (own[0][part], own[1][part]))

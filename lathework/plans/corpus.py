@@ -12,6 +12,8 @@ from lathework.session import shared_path, table, written
 from lathework.sources import files, sinks
 
 NONE = "array<string>"
+#: What a run reads of the chunks to search them.
+VECTORS = ["vector", "grp"]
 
 
 # evaluation runs
@@ -41,12 +43,12 @@ def _run(spark, sf_dir, chunks, *, same_group: bool):
 
 def run_aggregate(spark, sf_dir):
     """The run without filters, overall and for samples that expect an alarm code or not."""
-    x = written(_run(spark, sf_dir, search._chunks(spark, sf_dir), same_group=False).withColumn("part", F.when(F.col("expected_alarm_code").isNotNull(), "alarm").otherwise("other")), "run")
+    x = written(_run(spark, sf_dir, search._chunks(spark, sf_dir, VECTORS), same_group=False).withColumn("part", F.when(F.col("expected_alarm_code").isNotNull(), "alarm").otherwise("other")), "run")
     return runs.run_aggregate(x.withColumn("part", F.lit("all"))).withColumn("part", F.lit("all")).unionByName(runs.run_aggregate(x, "part"))
 
 
 def _pairs(spark, sf_dir):
-    chunks = search._chunks(spark, sf_dir)  # written once for both runs
+    chunks = search._chunks(spark, sf_dir, VECTORS)  # written once for both runs
     return runs.paired(_run(spark, sf_dir, chunks, same_group=False), _run(spark, sf_dir, chunks, same_group=True))
 
 

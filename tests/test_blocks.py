@@ -106,3 +106,34 @@ def test_paired_runs_share_one_table_of_chunks(monkeypatch):
 
 def test_paired_macro_shares_one_table_of_chunks(monkeypatch):
     assert _shared(monkeypatch, corpus.paired_macro) == (1, True)
+
+
+def test_cosines_in_few_dimensions_score_only_boxes_within_reach(monkeypatch):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(30_000, 4)).astype(np.float32)
+    x[15_000:] = x[:15_000]  # ties
+    ids = [f"{i:05d}" for i in range(30_000)]
+    right = pd.DataFrame({"row_id": ids, "vector": list(x)})
+    left = right.iloc[::20].rename(columns={"row_id": "query_id"})
+    seen = []
+    nonzero = np.nonzero
+    monkeypatch.setattr(np, "nonzero", lambda a: seen.append(np.size(a)) or nonzero(a))
+    monkeypatch.delattr(vectors, "_nearest")  # it scores all pairs
+    score, _ = vectors._scorer(("string", "string"), "cosine", 20, groups=False, exclude_self=True)
+    got = score(left, right).sort_values(["query_id", "score", "row_id"], ascending=[True, False, True])
+    assert sum(seen) < len(left) * len(right) / 2
+    s = np.round(vectors._scores(x[::20].astype(float), x.astype(float), "cosine"), 6)
+    s[np.arange(len(left)), np.arange(len(left)) * 20] = -np.inf
+    best = np.argsort(-s, axis=1, kind="stable")[:, :20]
+    assert np.array_equal(got["row_id"].to_numpy().reshape(-1, 20), np.array(ids)[best])
+
+
+def test_paired_runs_write_ids_vectors_and_groups_only(spark, tmp_path, monkeypatch):
+    fields = "id string, dense_vector array<float>, sparse_vector map<bigint,float>, equipment_model string, parent_id string, knowledge_type string, manufacturer string, language string"
+    spark.createDataFrame([(f"{k:064x}", [1.0], {1: 1.0}, "m", "p", "k", "f", "en") for k in range(3)], fields).write.parquet(f"{tmp_path}/chunks.parquet")
+    wrote = []
+    monkeypatch.setattr(search, "written", lambda df, what: wrote.append(df.columns) or df)
+    monkeypatch.setattr(corpus, "_run", lambda *a, **k: None)
+    monkeypatch.setattr(runs, "paired", lambda a, b: None)
+    corpus._pairs(spark, str(tmp_path))
+    assert wrote == [["row_id", "vector", "grp"]]
