@@ -405,6 +405,22 @@ def _more_in_scans(c: str, s: str, cc: str | Column, sc: str | Column) -> Column
     return (c == 0) | (cc >= RARER * c) & (s * cc >= OFTENER * (c + 1) * F.greatest(sc, F.lit(1)))
 
 
+def _written_apart(parts: list[list[DataFrame]]) -> DataFrame:
+    """The union of all parts without repeated rows, each list of them written by itself; missing columns are null, and no cost is 0.
+
+    As one plan, all its joins would be planned anew whenever one of its stages ends, on the driver's memory.
+    """
+    fields = {"kind": "string", "term": "string", "candidate": "string", "weight": "double", "cost": "int", "breaks": "boolean"}
+
+    def union(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part, allowMissingColumns=True)
+        return out.select(*(F.col(c) if c in out.columns else F.lit(None).cast(t).alias(c) for c, t in fields.items()))
+
+    return written(union([written(union(p), "pages-part") for p in parts]).fillna(0, ["cost"]).distinct(), "pages-misread")
+
+
 def misread_terms(counted: DataFrame, per_shard: int = 5000) -> DataFrame:
     """The misread terms of scans: ``kind, term, candidate, weight, cost, breaks``, one row per candidate.
 
@@ -428,7 +444,7 @@ def misread_terms(counted: DataFrame, per_shard: int = 5000) -> DataFrame:
     joined = divided.where("whole is not null").select(F.col("whole").alias("term"), "known")
     joined = joined.where("not known").select("term").unionByName(joined.where("known").join(asked, "term", "left_semi").select("term"))
     queries = asked.select("term", (F.col("c") == 0).alias("near")).unionByName(joined.unionByName(digits.select(F.lower("term").alias("term"))).withColumn("near", F.lit(False)))
-    queries = queries.groupBy("term").agg(F.max("near").alias("near"))
+    queries = written(queries.groupBy("term").agg(F.max("near").alias("near")), "pages-queries")
     yes = F.lit(True)
     odd = suspect.where("kind = 'c'").select("term", _of_characters(["c"]).alias("segments"))
     edge = counted.where("kind in ('e', 'f')").select("term", F.when(F.col("kind") == "e", _of_characters(["e"])).otherwise(_of_characters(["f"])).alias("segments"))
@@ -438,7 +454,7 @@ def misread_terms(counted: DataFrame, per_shard: int = 5000) -> DataFrame:
 
     weight = (F.log1p("cc") - 4 * F.col("distance")).alias("weight")
     as_candidate = words.select(F.col("term").alias("candidate"), F.col("c").alias("cc"), F.col("s").alias("sc"))
-    near = close.join(as_candidate, "candidate")
+    near = written(close.join(as_candidate, "candidate"), "pages-near")
     inner = F.length("term") > 4
     for edge_of in (F.substring("term", 1, 1) == F.substring("candidate", 1, 1), F.right("term", F.lit(1)) == F.right("candidate", F.lit(1)), F.length("term") == F.length("candidate")):
         inner = inner & edge_of
@@ -493,10 +509,7 @@ def misread_terms(counted: DataFrame, per_shard: int = 5000) -> DataFrame:
     by_char = [df.select(F.lit(kind).alias("kind"), "term", F.substring("candidate", k, 1).alias("candidate"), F.log1p("cc").alias("weight")) for df, kind, k in ((inside, "c", 2), (first, "e", 1), (last, "f", 3))]
 
     breaks = divided.where("breaks").select(F.lit("h").alias("kind"), "term", F.lit(None).cast("string").alias("candidate"), F.lit(-99.0).alias("weight"), "breaks")
-    out = by_word
-    for part in (by_divided, by_digits, by_letters, by_letter, *by_char, breaks):
-        out = out.unionByName(part, allowMissingColumns=True)
-    return written(out.fillna(0, ["cost"]).distinct(), "pages-misread")
+    return _written_apart([[by_word], [by_divided, breaks], [by_digits, by_letters], [by_letter], by_char[:1], by_char[1:]])
 
 
 def bitmap_of(misread: DataFrame) -> bytes:
@@ -593,7 +606,7 @@ def noisy_places(rows: DataFrame, extra_vocabulary: DataFrame | None = None) ->
     )
     ranked = written(ranked, "pages-ranked")
     # a document with misread or divided words is a scan, too, if it shows no furniture
-    also = ranked.where("not scan and (candidate is not null or breaks)").select("document").distinct()
+    also = written(ranked.where("not scan and (candidate is not null or breaks)").select("document").distinct(), "pages-also")
     noise = ranked.where("scan").unionByName(ranked.where("not scan").join(also, "document", "left_semi"))
     furniture = places.where("term = '' and scan").unionByName(places.where("term = '' and not scan").join(also, "document", "left_semi"))
     furniture = furniture.select("tbl", "row_key", "line", "kind", "at", "raw", F.lit("").alias("after"), "line2", F.lit(None).cast("string").alias("candidate"), F.lit(None).cast("boolean").alias("breaks"))
@@ -603,16 +616,17 @@ def noisy_places(rows: DataFrame, extra_vocabulary: DataFrame | None = None) ->
 
 def noisy_lines(places: DataFrame) -> DataFrame:
     """One row per noisy line and kind: ``tbl, row_key, line_no, noise_kind``; lines count from 1."""
-    furniture = places.where("kind in ('page_number', 'running_header')").select("tbl", "row_key", "line", F.col("kind").alias("noise_kind"))
-    breaks = places.where("kind = 'h' and breaks").select("tbl", "row_key", "line", F.lit("hyphen_break").alias("noise_kind"))
-    own = places.where("kind in ('w', 'd', 'n', 'c', 'e', 'f')").select("tbl", "row_key", "line")
-    halves = places.where("kind = 'h' and candidate is not null")
+    half = (F.col("kind") == "h") & F.col("candidate").isNotNull()
     left_wrong = F.lower("raw") != F.expr("substring(candidate, 1, length(raw))")
     right_wrong = F.lower("after") != F.expr("right(candidate, length(after))")
-    left = halves.where(left_wrong).select("tbl", "row_key", "line")
-    right = halves.where(right_wrong & (F.col("line2") >= 0)).select("tbl", "row_key", F.col("line2").alias("line"))
-    misread = own.unionByName(left).unionByName(right).withColumn("noise_kind", F.lit("misread"))
-    return furniture.unionByName(breaks).unionByName(misread).select("tbl", "row_key", (F.col("line") + 1).alias("line_no"), "noise_kind").distinct()
+    line = lambda where, no, kind: F.when(where, F.struct((F.col(no) + 1).alias("line_no"), kind.alias("noise_kind")))
+    found = F.array(
+        line(F.col("kind").isin("page_number", "running_header"), "line", F.col("kind")),
+        line((F.col("kind") == "h") & F.col("breaks"), "line", F.lit("hyphen_break")),
+        line(F.col("kind").isin("w", "d", "n", "c", "e", "f") | half & left_wrong, "line", F.lit("misread")),
+        line(half & right_wrong & (F.col("line2") >= 0), "line2", F.lit("misread")),
+    )
+    return places.select("tbl", "row_key", F.explode(F.array_compact(found)).alias("x")).select("tbl", "row_key", "x.line_no", "x.noise_kind").distinct()
 
 
 def _cased(raw: str, candidate: str) -> str:

@@ -158,3 +158,13 @@ def test_line_numbers_count_line_feeds_only(spark):
 def test_lines_that_end_within_identifiers_are_joined():
     assert op.repaired_text("注意：NØR\nD_6574停用超过2\n8天时，由Norvex Co.\nLtd.提供。", []) == "注意：NØRD_6574停用超过28天时，由Norvex Co. Ltd.提供。"
     assert op.repaired_text("Order the\nnew part 20\n30 times", []) == "Order the new part 20 30 times"
+
+
+def test_no_plan_holds_all_joins(spark, monkeypatch):
+    joins = []
+    count = lambda df: joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or df
+    write = op.written
+    monkeypatch.setattr(op, "written", lambda df, what: write(count(df), what))
+    _, places = op.noisy_places(tables(spark))
+    count(op.noisy_lines(places))
+    assert max(joins) <= 12, joins
